@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from catalog import risk, teams  # noqa: F401
+from catalog import entities, profile, risk, teams  # noqa: F401
