@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from catalog import columns, entities, prepare, profile, risk, teams  # noqa: F401
+from catalog import columns, entities, learning, prepare, profile, risk, teams  # noqa: F401

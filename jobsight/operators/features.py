@@ -101,8 +101,8 @@ def expand_dates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def droppable(df: DataFrame, histogram: DataFrame) -> DataFrame:
-    """P10: columns at least 98 percent empty, and text columns with 5000 or more values."""
-    texts = [f.name for f in df.schema.fields if not numbers.is_numeric(f.dataType) and not dates.is_datetime(f.dataType)]
+    """P10: columns at least 98 percent empty, and non-numeric columns with 5000 or more values."""
+    texts = [f.name for f in df.schema.fields if not numbers.is_numeric(f.dataType)]
     sparse = F.col("rows") - F.col("non_null_rows") >= fv.SPARSE_SHARE * F.col("rows")
     wide = F.col("column").isin(texts) & (F.col("unique_count") >= fv.HIGH_CARDINALITY)
     return column_counts(histogram).select(
@@ -141,7 +141,6 @@ def plan_features(df: DataFrame, target: str) -> FeaturePlan:
         {r.column for r in droppable(expanded, histogram).where("drop_reason is not null").collect()}
         if others else set()
     )
-    # Time stamps that are not expanded hold no usable category; sklearn-style text of them would be an id.
     kept = [f for f in expanded.schema.fields if f.name not in dropped]
     plan.dropped = [c for c in expanded.columns if c in dropped]
     plan.numeric = [f.name for f in kept if numbers.is_numeric(f.dataType)]
@@ -198,14 +197,17 @@ def assembler(df: DataFrame, plan: FeaturePlan) -> PipelineModel:
 
     Unknown categories take the encoder's dropped slot and so become all zeros.
     """
-    stages = []
+    stages, sample = [], df.limit(0)
+    for c in plan.categorical:
+        labels = plan.frequent[c] + ([RARE] if plan.rare[c] else [])
+        stages.append(StringIndexerModel.from_labels(labels, f"cat__{c}", f"cat__{c}__index", handleInvalid="keep"))
+        sample = stages[-1].transform(sample)
     if plan.categorical:
-        names = [f"cat__{c}" for c in plan.categorical]
-        labels = [plan.frequent[c] + ([RARE] if plan.rare[c] else []) for c in plan.categorical]
-        indexed = [f"{n}__index" for n in names]
-        indexer = StringIndexerModel.from_arrays_of_labels(labels, names, indexed, handleInvalid="keep")
-        encoder = OneHotEncoder(inputCols=indexed, outputCols=[f"{n}__vector" for n in names], dropLast=True)
-        stages = [indexer, encoder.fit(indexer.transform(df.limit(0)))]
+        encoder = OneHotEncoder(
+            inputCols=[f"cat__{c}__index" for c in plan.categorical],
+            outputCols=[f"cat__{c}__vector" for c in plan.categorical], dropLast=True,
+        )
+        stages.append(encoder.fit(sample))
     inputs = [f"num__{c}" for c in plan.numeric] + [f"cat__{c}__vector" for c in plan.categorical]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return PipelineModel(stages)
