@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from jobsight.session import stage
+
 BINS_PER_E = 2 ** 8
 # A group of up to this many rows is sorted in one task without trouble.
 SMALL_GROUP = 200_000
@@ -118,6 +120,17 @@ def exact_quantiles(
     return picked.select(*[k for k in keys if k != _ALL], *results)
 
 
+def _salted(probes: DataFrame, keys: list[str], probe_id: list[str]) -> DataFrame:
+    """Spread the probes of a group that has more than ``SMALL_GROUP`` of them over that many salts."""
+    crowded = (
+        probes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
+        .where(F.col("_asked") > SMALL_GROUP)
+        .select(*keys, F.ceil(F.col("_asked") / SMALL_GROUP).alias("_salts"))
+    )
+    salt = F.pmod(F.xxhash64(*probe_id), F.coalesce("_salts", F.lit(1)))
+    return probes.join(crowded, keys, "left").withColumn("_salt", salt).drop("_salts")
+
+
 def band_totals(
     facts: DataFrame,
     probes: DataFrame,
@@ -136,7 +149,9 @@ def band_totals(
     probes together: no pair of a probe and a fact is ever formed. Facts of groups that
     nobody asks for are dropped before the shuffle. ``group_rows`` is a probe column with
     the number of fact rows of its group: groups up to ``SMALL_GROUP`` are sorted whole,
-    larger ones bin by bin. Probes must be unique by ``probe_id``; those with an empty
+    larger ones bin by bin. Where many probes ask for one small group, its facts are
+    repeated for every ``SMALL_GROUP`` probes, so hot groups spread over tasks on both
+    sides. Probes must be unique by ``probe_id``; those with an empty
     band (low above high) give no row. Probes are read several times, so pass a staged
     table.
     """
@@ -145,15 +160,15 @@ def band_totals(
     # At equal values a low edge sorts before the facts and a high edge after them.
     edge = lambda at, side: F.struct(F.col(at).cast("double").alias("_at"), F.lit(side).alias("_side"))
 
-    def line_for(asked: DataFrame) -> DataFrame:
+    def line_for(asked: DataFrame, group: list[str]) -> DataFrame:
         marks = (
             facts.where(F.col(value).isNotNull())
-            .join(asked.select(*keys).distinct(), keys, "left_semi")
-            .groupBy(*keys, F.col(value).cast("double").alias("_at"))
+            .join(asked.select(*group).distinct(), keys)
+            .groupBy(*group, F.col(value).cast("double").alias("_at"))
             .agg(*[F.sum(m).alias(m) for m in measures])
             .withColumn("_side", F.lit(1))
         )
-        edges = asked.select(*keys, *ids, F.inline(F.array(edge(low, 0), edge(high, 2)))).select("*", *zero)
+        edges = asked.select(*group, *ids, F.inline(F.array(edge(low, 0), edge(high, 2)))).select("*", *zero)
         return marks.unionByName(edges, allowMissingColumns=True)
 
     def upto(group: list[str], m: str) -> Column:
@@ -162,10 +177,13 @@ def band_totals(
 
     valid = probes.where(F.col(low) <= F.col(high))
     whole = valid.where(F.col(group_rows) <= SMALL_GROUP)
-    read = line_for(whole).select("*", *[upto(keys, m) for m in measures]).where("_side != 1")
+    group = keys
+    if probes.count() > SMALL_GROUP:
+        whole, group = _salted(whole, keys, probe_id), [*keys, "_salt"]
+    read = line_for(whole, group).select("*", *[upto(group, m) for m in measures]).where("_side != 1").drop("_salt")
     wide = valid.where(F.col(group_rows) > SMALL_GROUP)
     if not wide.isEmpty():
-        line = line_for(wide).withColumn("_bin", value_bin(F.col("_at")))
+        line = line_for(wide, keys).withColumn("_bin", value_bin(F.col("_at")))
         starts = _bin_starts(line, keys, measures)
         binned = (
             line.select("*", *[upto([*keys, "_bin"], m) for m in measures])
@@ -178,6 +196,26 @@ def band_totals(
     return read.groupBy(*probe_id).agg(*[F.sum(sign * F.col(f"_to_{m}")).alias(m) for m in measures])
 
 
+def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Add the running number 1..n of every row in the given order.
+
+    Rows are range-partitioned by the order and written once, so every part is a
+    contiguous piece of it with a fixed number; a part's start is the size of the parts
+    before it. No task sorts more than one part. The order must be total.
+    """
+    parts = stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordered_parts")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # over one row per part
+    starts = (
+        parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+        .select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    )
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return (
+        parts.withColumn("_place", place).join(starts, "_part")
+        .withColumn(name, F.col("_start") + F.col("_place")).drop("_part", "_start", "_place")
+    )
+
+
 def mix_order(seed: int, *key: str) -> Column:
     """A repeatable random order: the md5 of seed and row key, stable under repartitioning."""
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]

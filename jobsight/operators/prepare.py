@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from jobsight import fixed_values as fv
 from jobsight.functions import dates, numbers, status, text
 from jobsight.functions.optional import column_or_null
-from jobsight.operators.ordered import mix_order
+from jobsight.operators.ordered import mix_order, number_rows
 
 
 @dataclass(frozen=True)
@@ -93,40 +93,26 @@ def select_rows(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 
 def client_aliases(df: DataFrame) -> DataFrame:
-    """(contact_name, alias) with Client 0001 for the most frequent client.
-
-    The numbering window runs over the distinct clients of the selected rows, at most
-    ``target_rows`` of them.
-    """
+    """(contact_name, alias) with Client 0001 for the most frequent client, ties by name."""
     counted = (
         df.select(text.blank_to_null(F.col("contact_name")).alias("contact_name")).where("contact_name is not null")
         .groupBy("contact_name").agg(F.count(F.lit(1)).alias("jobs"))
     )
-    number = F.row_number().over(W.orderBy(F.desc("jobs"), "contact_name")).cast("string")
-    width = F.greatest(F.length(number), F.lit(4))
-    return counted.select("contact_name", F.concat(F.lit("Client "), F.lpad(number, width, F.lit("0"))).alias("alias"))
+    numbered = number_rows(counted, [F.desc("jobs"), F.asc("contact_name")], "number")
+    return numbered.select("contact_name", _code("Client ", F.col("number"), 4).alias("alias"))
 
 
 def number_jobs(df: DataFrame, row_key: list[str]) -> DataFrame:
-    """Add ``job_number`` 1..n in the order (team, date, row key).
-
-    Each team's start is a running total over the teams; rows are only sorted within their
-    team, so no task sees the whole table.
-    """
+    """Add ``job_number`` 1..n in the order (team, date, row key)."""
     start_at = dates.datetime_of(df, "date") if "date" in df.columns else F.lit(None).cast("timestamp_ntz")
-    sizes = df.groupBy("_team").agg(F.count(F.lit(1)).alias("_size"))
-    before = W.orderBy("_team").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_team", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    inside = W.partitionBy("_team").orderBy(start_at, *row_key)
-    return (
-        df.withColumn("_place", F.row_number().over(inside)).join(starts, "_team")
-        .withColumn("job_number", F.col("_start") + F.col("_place")).drop("_place", "_start")
-    )
+    ordered = df.withColumn("_start_at", start_at)
+    return number_rows(ordered, [F.col(c) for c in ("_team", "_start_at", *row_key)], "job_number").drop("_start_at")
 
 
-def _code(prefix: str, number: Column) -> Column:
+def _code(prefix: str, number: Column, width: int = 6) -> Column:
+    """Prefix and zero-padded number; longer numbers keep all digits."""
     digits = number.cast("string")
-    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")))
+    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0")))
 
 
 def privacy_reduced(selected: DataFrame, policy: Policy = Policy()) -> DataFrame:

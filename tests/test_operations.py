@@ -176,6 +176,10 @@ def test_cards(spark, raw, jobs):
     names = {r.name: r.jobs for r in entities.entity_list(jobs, entities.PARTNER).collect()}
     assert names["Gamma"] == 2 * card["gamma"].total_jobs
     assert card["alpha"].avg_total_done_hours is None
+    one = entities.profile_card(jobs, entities.PARTNER, " ALPHA", F.lit("2024-06-01").cast("timestamp_ntz")).collect()
+    assert one == [card["alpha"]]
+    with pytest.raises(ValueError, match="No records found for client 'Zed'"):
+        entities.profile_card(jobs, entities.CLIENT, "Zed")
     with pytest.raises(ValueError):
         entities.entity_jobs(jobs, "team")
 

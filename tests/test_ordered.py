@@ -61,7 +61,7 @@ def test_running_totals(spark, facts):
         assert row.below_n == sum(1 for x in groups[row.k] if x < row.v)
 
 
-@pytest.mark.parametrize("small_group", [10 ** 9, 100, 0])
+@pytest.mark.parametrize("small_group", [10 ** 9, 100, 1])
 def test_band_totals(spark, facts, small_group, monkeypatch):
     """Whole groups, binned groups and a mix give the same exact sums."""
     monkeypatch.setattr(ordered, "SMALL_GROUP", small_group)
@@ -84,6 +84,26 @@ def test_band_totals(spark, facts, small_group, monkeypatch):
         assert got[i].n == len(hits)
 
 
+def test_crowded_groups_are_salted(spark, monkeypatch):
+    """More probes than a task should hold: the group is repeated per salt, results stay the same."""
+    monkeypatch.setattr(ordered, "SMALL_GROUP", 50)
+    facts = spark.createDataFrame([("g", float(i)) for i in range(40)] + [("h", 1.0)], "k string, v double").withColumn("n", F.lit(1))
+    probes = spark.createDataFrame(
+        [(i, "g", float(i % 60) - 5, float(i % 60), 40) for i in range(400)] + [(400, "h", 0.0, 2.0, 1)],
+        "id long, k string, low double, high double, size long")
+    got = {r.id: r.n for r in band_totals(facts, probes, ["k"], "v", "low", "high", ["n"], ["id"], "size").collect()}
+    assert got == {**{i: sum(i % 60 - 5 <= x <= i % 60 for x in range(40)) for i in range(400)}, 400: 1}
+
+
+def test_number_rows(spark):
+    rows = [("hot" if i % 2 else f"c{i % 9}", (i * 37) % 1001) for i in range(1001)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(11)
+    got = ordered.number_rows(df, [F.desc("k"), F.col("v")], "n").orderBy("n").collect()
+    want = sorted(rows, key=lambda r: r[1])
+    want.sort(key=lambda r: r[0], reverse=True)
+    assert [r.n for r in got] == list(range(1, 1002)) and [(r.k, r.v) for r in got] == want
+
+
 def test_flag_smallest_is_exact(spark):
     rows = [(i, "hot" if i % 3 else f"c{i % 5}") for i in range(2000)]
     df = spark.createDataFrame(rows, "i long, k string")
