@@ -26,8 +26,7 @@ HIGH_CARDINALITY = 5000
 RARE_SHARE = 0.01
 SIGNATURE_CATEGORIES = 25
 
-# --- blank and zero spellings -----------------------------------------------
-EMPTY_DATE_TEXTS = ["0000-00-00 00:00:00", "0000-00-00", "nan", "NaT", "None", ""]
+# --- yes/no spellings -------------------------------------------------------
 YES_TEXTS = ["yes", "y", "true", "t", "1"]
 NO_TEXTS = ["no", "n", "false", "f", "0"]
 BOOLEAN_TEXTS = ["0", "1", "0.0", "1.0"]

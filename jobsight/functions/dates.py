@@ -8,22 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from jobsight import fixed_values as fv
 from jobsight.functions.text import strip
 
-_ISO = r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"
+# Year first, or day first with slashes, dots or dashes; a time of day may follow.
+_DATED = r"^\s*(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4})([T ].*)?\s*$"
 _DAY_FIRST = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})"
-_NAMED_MONTH = r"^\d{1,2}[ \-][A-Za-z]{3}[ \-]\d{4}$"
+_NAMED_MONTH = r"^\s*\d{1,2}[ \-][A-Za-z]{3}[ \-]\d{4}\s*$"
 
 
 def parse_datetime(c: Column) -> Column:
-    """timestamp of a text cell, null for blanks, zero dates and unreadable text."""
-    text = strip(c)
-    cell = F.when(~text.isin(fv.EMPTY_DATE_TEXTS), text)
-    iso = F.regexp_replace(cell, _DAY_FIRST, "$3-$2-$1")
-    named = F.try_to_timestamp(F.translate(cell, "-", " "), F.lit("d MMM yyyy"))
+    """timestamp of a text cell, null for blanks, zero dates, ``NaT`` and other unreadable text."""
+    cell = c.cast("string")
+    year_first = F.regexp_replace(strip(cell), _DAY_FIRST, "$3-$2-$1")
+    named = F.try_to_timestamp(F.translate(strip(cell), "-", " "), F.lit("d MMM yyyy"))
     return (
-        F.when(iso.rlike(_ISO), iso.try_cast("timestamp_ntz"))
+        F.when(cell.rlike(_DATED), year_first.try_cast("timestamp_ntz"))
         .when(cell.rlike(_NAMED_MONTH), named.cast("timestamp_ntz"))
     )
 

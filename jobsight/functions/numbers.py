@@ -10,7 +10,6 @@ from jobsight.functions.text import blank_to_null, strip
 # Exact enough for money with up to six decimals; decimal sums do not depend on row order.
 MONEY = "decimal(28,6)"
 
-_PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -22,8 +21,7 @@ def parse_number(c: Column) -> Column:
 
 def numeric_loose(c: Column) -> Column:
     """keep digits, dot and minus, then parse; ``(500)`` reads as 500."""
-    kept = F.regexp_replace(c.cast("string"), r"[^0-9.\-]", "")
-    return F.when(kept.rlike(_PLAIN), kept.try_cast("double"))
+    return F.regexp_replace(c.cast("string"), r"[^0-9.\-]", "").try_cast("double")
 
 
 def numeric_strict(c: Column) -> Column:

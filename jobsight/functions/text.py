@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from jobsight import fixed_values as fv
 
+# The token before white space, or else the leading area, or else up to four characters.
+_OUTWARD = r"^(?:\S+(?=\s)|[A-Z]{1,2}\d[A-Z\d]?|.{1,4})"
 WHITESPACE = " \t\n\r\x0b\x0c"
 
 
@@ -81,13 +83,7 @@ def outward_postcode(c: Column) -> Column:
     failing that the first four characters. It also works on compacted postcodes,
     so the domain operators use this form.
     """
-    code = F.regexp_replace(F.upper(blank_to_null(c)), r"\s+", " ")
-    area = F.regexp_extract(code, r"^[A-Z]{1,2}\d[A-Z\d]?", 0)
-    return (
-        F.when(F.contains(code, F.lit(" ")), F.split(code, " ").getItem(0))
-        .when(area != "", area)
-        .otherwise(F.substring(code, 1, 4))
-    )
+    return F.nullif(F.regexp_extract(F.upper(strip(c)), _OUTWARD, 0), F.lit(""))
 
 
 def compact_postcode(c: Column) -> Column:

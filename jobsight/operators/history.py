@@ -2,14 +2,14 @@
 
 An intake job is never paired with history rows. History is reduced to counts per
 team, team and job type, team and area, and all three; an intake job reads those by
-equi-joins, and the price band by ``band_totals``.
+equi-joins, and the price band by ``band_edges``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from jobsight.operators.ordered import band_totals, exact_quantiles
+from jobsight.operators.ordered import band_edges, exact_quantiles
 
 SCOPE = ["level", "scope_type", "scope_area"]
 MEASURES = ["n", "completed", "cancelled"]
@@ -134,14 +134,23 @@ def scope_columns(use_type: Column, use_area: Column) -> list[Column]:
     ]
 
 
-def price_band_counts(jobs: DataFrame, probes: DataFrame, probe_id: list[str]) -> DataFrame:
-    """History counts with a price within a quarter of the asked price, per probe.
+def price_band_edges(
+    jobs: DataFrame, probes: DataFrame, probe_id: list[str], measures: list[str] = MEASURES
+) -> DataFrame:
+    """Rows per probe that add up to its history counts with a price within a quarter of
+    the asked price.
 
     ``probes`` is a staged table with ``probe_id``, ``team_key``, the scope columns,
     ``scope_rows`` and ``price``.
     """
     banded = probes.withColumn("low", F.col("price") * 0.75).withColumn("high", F.col("price") * 1.25)
-    return band_totals(
+    return band_edges(
         scoped_history(jobs), banded, ["team_key", *SCOPE], "budget_revenue", "low", "high",
-        MEASURES, probe_id, "scope_rows",
+        measures, probe_id, "scope_rows",
     )
+
+
+def price_band_counts(jobs: DataFrame, probes: DataFrame, probe_id: list[str]) -> DataFrame:
+    """One row per probe with its counts."""
+    edges = price_band_edges(jobs, probes, probe_id)
+    return edges.groupBy(*probe_id).agg(*[F.sum(m).alias(m) for m in MEASURES])

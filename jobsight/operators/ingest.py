@@ -34,8 +34,7 @@ def canonical_jobs(df: DataFrame) -> DataFrame:
     hse_dated = _datetime(df, "c_hsincidentdate").isNotNull()
     riddor = F.coalesce(_number(df, "c_riddorreportable") > 0, F.lit(False))
     damage = {c: text.any_filled(column_or_null(df, c)) for c in fv.DAMAGE_COLUMNS}
-    start, done = _datetime(df, "date"), _datetime(df, "completed_date")
-    return df.select(
+    parsed = df.select(
         column_or_null(df, "project_no").cast("string").alias("project_no"),
         column_or_null(df, "project_name").cast("string").alias("project_name"),
         column_or_null(df, "contact_name").cast("string").alias("client"),
@@ -47,10 +46,9 @@ def canonical_jobs(df: DataFrame) -> DataFrame:
         status.says_cancelled(state).alias("is_cancelled"),
         status.is_completed(state).alias("is_completed"),
         status.says_completed(state).alias("says_completed"),
-        start.alias("start_at"),
+        _datetime(df, "date").alias("start_at"),
         _datetime(df, "due_date").alias("due_at"),
-        done.alias("completed_at"),
-        dates.whole_days(start, done).alias("cycle_days"),
+        _datetime(df, "completed_date").alias("completed_at"),
         _number(df, "budget_revenue").alias("budget_revenue"),
         _number(df, "actual_revenue").alias("actual_revenue"),
         _number(df, "budget_cost").alias("budget_cost"),
@@ -64,11 +62,14 @@ def canonical_jobs(df: DataFrame) -> DataFrame:
         hse_category.alias("hse_category"),
         hse_dated.alias("hse_dated"),
         riddor.alias("riddor"),
-        (hse_category | hse_dated | riddor).alias("hse_event"),
         *[flag.alias(name) for name, flag in damage.items()],
-        (damage["c_damagestatus"] | damage["c_damagecategory"] | damage["c_damagedescription"]).alias(
-            "damage_event"
-        ),
+    )
+    # A second step, so that each cell is parsed once however often it is used.
+    return parsed.select(
+        "*",
+        dates.whole_days(F.col("start_at"), F.col("completed_at")).alias("cycle_days"),
+        (F.col("hse_category") | F.col("hse_dated") | F.col("riddor")).alias("hse_event"),
+        (F.col("c_damagestatus") | F.col("c_damagecategory") | F.col("c_damagedescription")).alias("damage_event"),
     )
 
 
@@ -81,7 +82,7 @@ def canonical_intake(df: DataFrame, job_id: str = "job_id") -> DataFrame:
     partner = text.blank_to_null(column_or_null(df, "related_contacts"))
     job_type = pick(fv.JOB_TYPE_FIELDS)
     postcode = pick(fv.POSTCODE_FIELDS)
-    return df.select(
+    parsed = df.select(
         F.col(job_id).cast("string").alias("job_id"),
         partner.alias("partner"),
         F.lower(partner).alias("team_key"),
@@ -90,12 +91,13 @@ def canonical_intake(df: DataFrame, job_id: str = "job_id") -> DataFrame:
         F.lower(job_type).alias("job_type_key"),
         postcode.alias("postcode"),
         text.outward_postcode(postcode).alias("area"),
-        dates.whole_days(
-            dates.parse_datetime(pick(fv.START_FIELDS)), dates.parse_datetime(pick(fv.DUE_FIELDS))
-        ).alias("lead_days"),
+        dates.parse_datetime(pick(fv.START_FIELDS)).alias("start_at"),
+        dates.parse_datetime(pick(fv.DUE_FIELDS)).alias("due_at"),
         numbers.first_price(*[column_or_null(df, n) for n in fv.PRICE_FIELDS]).alias("price"),
         numbers.numeric_loose(column_or_null(df, "budget_cost")).alias("cost"),
     )
+    lead = dates.whole_days(F.col("start_at"), F.col("due_at"))
+    return parsed.withColumn("lead_days", lead).drop("start_at", "due_at")
 
 
 def intake_readiness(df: DataFrame, job_id: str = "job_id") -> DataFrame:

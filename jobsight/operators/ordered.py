@@ -131,7 +131,7 @@ def _salted(probes: DataFrame, keys: list[str], probe_id: list[str]) -> DataFram
     return probes.join(crowded, keys, "left").withColumn("_salt", salt).drop("_salts")
 
 
-def band_totals(
+def band_edges(
     facts: DataFrame,
     probes: DataFrame,
     keys: list[str],
@@ -142,33 +142,36 @@ def band_totals(
     probe_id: list[str],
     group_rows: str,
 ) -> DataFrame:
-    """For every probe the sum of each measure over the facts of its group whose value lies
-    in ``[low, high]``, both ends included (J5).
+    """Two rows per probe, whose measures add up to the sums over the facts of its group with
+    a value in ``[low, high]``, both ends included (J5).
 
     The band is a difference of two running totals, so the cost is a sort of facts and
-    probes together: no pair of a probe and a fact is ever formed. Facts of groups that
-    nobody asks for are dropped before the shuffle. ``group_rows`` is a probe column with
-    the number of fact rows of its group: groups up to ``SMALL_GROUP`` are sorted whole,
-    larger ones bin by bin. Where many probes ask for one small group, its facts are
-    repeated for every ``SMALL_GROUP`` probes, so hot groups spread over tasks on both
-    sides. Probes must be unique by ``probe_id``; those with an empty
-    band (low above high) give no row. Probes are read several times, so pass a staged
-    table.
+    probes together: no pair of a probe and a fact is ever formed. The groups that are
+    asked for get a number, so facts of other groups are dropped before the shuffle and
+    rows sort by numbers only. ``group_rows`` is a probe column with the number of fact
+    rows of its group: groups up to ``SMALL_GROUP`` are sorted whole, larger ones bin by
+    bin. Where many probes ask for one small group, its facts are repeated for every
+    ``SMALL_GROUP`` probes, so hot groups spread over tasks on both sides. Probes must be
+    unique by ``probe_id``; those with an empty band (low above high) give no row. Probes
+    are read several times, so pass a staged table.
     """
-    ids = [c for c in probe_id if c not in keys]
-    zero = [F.lit(0).cast("long").alias(m) for m in measures]
     # At equal values a low edge sorts before the facts and a high edge after them.
     edge = lambda at, side: F.struct(F.col(at).cast("double").alias("_at"), F.lit(side).alias("_side"))
+    zero = [F.lit(0).cast("long").alias(m) for m in measures]
 
     def line_for(asked: DataFrame, group: list[str]) -> DataFrame:
+        numbered = asked.select(*group).distinct().withColumn("_group", F.monotonically_increasing_id())
+        groups = stage(numbered, "band_groups")  # written, so that a number never changes
         marks = (
             facts.where(F.col(value).isNotNull())
-            .join(asked.select(*group).distinct(), keys)
-            .groupBy(*group, F.col(value).cast("double").alias("_at"))
+            .join(groups, keys)
+            .groupBy("_group", F.col(value).cast("double").alias("_at"))
             .agg(*[F.sum(m).alias(m) for m in measures])
             .withColumn("_side", F.lit(1))
         )
-        edges = asked.select(*group, *ids, F.inline(F.array(edge(low, 0), edge(high, 2)))).select("*", *zero)
+        edges = asked.join(groups, group).select(
+            "_group", *probe_id, F.inline(F.array(edge(low, 0), edge(high, 2)))
+        ).select("*", *zero)
         return marks.unionByName(edges, allowMissingColumns=True)
 
     def upto(group: list[str], m: str) -> Column:
@@ -180,20 +183,27 @@ def band_totals(
     group = keys
     if probes.count() > SMALL_GROUP:
         whole, group = _salted(whole, keys, probe_id), [*keys, "_salt"]
-    read = line_for(whole, group).select("*", *[upto(group, m) for m in measures]).where("_side != 1").drop("_salt")
+    read = line_for(whole, group).select("*", *[upto(["_group"], m) for m in measures]).where("_side != 1")
     wide = valid.where(F.col(group_rows) > SMALL_GROUP)
     if not wide.isEmpty():
         line = line_for(wide, keys).withColumn("_bin", value_bin(F.col("_at")))
-        starts = _bin_starts(line, keys, measures)
+        starts = _bin_starts(line, ["_group"], measures)
         binned = (
-            line.select("*", *[upto([*keys, "_bin"], m) for m in measures])
+            line.select("*", *[upto(["_group", "_bin"], m) for m in measures])
             .where("_side != 1")
-            .join(starts, [*keys, "_bin"])
+            .join(starts, ["_group", "_bin"])
             .withColumns({f"_to_{m}": F.col(f"_start_{m}") + F.col(f"_to_{m}") for m in measures})
         )
         read = read.unionByName(binned.select(*read.columns))
     sign = F.col("_side") - 1
-    return read.groupBy(*probe_id).agg(*[F.sum(sign * F.col(f"_to_{m}")).alias(m) for m in measures])
+    return read.select(*probe_id, *[(sign * F.col(f"_to_{m}")).alias(m) for m in measures])
+
+
+def band_totals(facts: DataFrame, probes: DataFrame, keys: list[str], value: str, low: str, high: str,
+                measures: list[str], probe_id: list[str], group_rows: str) -> DataFrame:
+    """One row per probe: the sums that ``band_edges`` adds up to."""
+    edges = band_edges(facts, probes, keys, value, low, high, measures, probe_id, group_rows)
+    return edges.groupBy(*probe_id).agg(*[F.sum(m).alias(m) for m in measures])
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
