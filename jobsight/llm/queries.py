@@ -92,6 +92,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), default_path())
 
 
+@query("op7_pitman_yor")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hpylm import scored_documents
+
+    return scored_documents(_table(spark, sf_dir, "documents"))
+
+
 @query("op8_simhash")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
