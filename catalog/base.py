@@ -54,12 +54,12 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 def all_intake(spark: SparkSession, sf: str) -> DataFrame:
     """Every job of the table as an intake row."""
-    return ingest.canonical_intake(testdata.as_intake(raw_jobs(spark, sf)))
+    return staged(spark, sf, "all_intake", lambda: ingest.canonical_intake(testdata.as_intake(raw_jobs(spark, sf))))
 
 
 def bookings(spark: SparkSession, sf: str) -> DataFrame:
     """The newest job of every client as an intake row."""
-    return ingest.canonical_intake(testdata.newest_bookings(raw_jobs(spark, sf)))
+    return staged(spark, sf, "bookings", lambda: ingest.canonical_intake(testdata.newest_bookings(raw_jobs(spark, sf))))
 
 
 def rounded(expression: str, digits: int) -> str:

@@ -449,4 +449,4 @@ def stream_scores(spark, sf):
         incoming, lambda: jobs(spark, sf), output, scratch_path(spark, "stream-checkpoint")
     )
     run.awaitTermination()
-    return spark.read.parquet(output).drop("batch")
+    return spark.read.parquet(f"{output}/scores").drop("batch")

@@ -177,10 +177,10 @@ def similar_history(spark, sf):
 )
 def price_band(spark, sf):
     table = jobs(spark, sf)
-    sizes = history.team_history(table).groupBy("team_key").agg(F.count(F.lit(1)).alias("scope_rows"))
-    probes = all_intake(spark, sf).join(sizes, "team_key").select(
+    known = history.team_history(table).select("team_key").distinct()
+    probes = all_intake(spark, sf).join(known, "team_key", "left_semi").select(
         "job_id", "team_key", "price", F.lit("team").alias("level"), F.lit("").alias("scope_type"),
-        F.lit("").alias("scope_area"), "scope_rows",
+        F.lit("").alias("scope_area"),
     )
     return history.price_band_counts(table, stage(probes, "price_probes"), ["job_id"])
 

@@ -20,9 +20,11 @@ def main() -> None:
     parser.add_argument("source", help="delimited text, parquet, ORC or JSON dataset")
     parser.add_argument("output", help="where the result goes; the extension decides the format")
     parser.add_argument("report", help="where the manifest or cleaning log goes")
+    parser.add_argument("--encoding", default="UTF-8", help="character encoding of delimited text")
+    parser.add_argument("--multi-line", action="store_true", default=None, help="cells hold line breaks (default: found out)")
     args = parser.parse_args()
     spark = get_session()
-    source = load_dataset(spark, args.source)
+    source = load_dataset(spark, args.source, args.encoding, args.multi_line)
     if args.step == "prepare":
         safe, manifest = workflows.build_safe_dataset(source)
         write_dataset(safe, args.output)

@@ -10,21 +10,50 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from jobsight.functions.text import strip
 
-# Year first, or day first with slashes, dots or dashes; a time of day may follow.
-_DATED = r"^\s*(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4})([T ].*)?\s*$"
-_DAY_FIRST = r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})"
-_NAMED_MONTH = r"^\s*\d{1,2}[ \-][A-Za-z]{3}[ \-]\d{4}\s*$"
+# A date, and perhaps a time of day after it.
+_SPLIT = r"^(.*?\d)(?:T|,?\s+)(\d{1,2}(?::\d{2}){1,2}.*|\d{1,2}\s*[AaPp]\.?[Mm]\.?)$"
+# Dates as (pattern, year-month-day): year first; digits only; day first; day first with a short year.
+_NUMERIC_DATES = [
+    (r"^(\d{4})[/.\-](\d{1,2})[/.\-](\d{1,2})$", "$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})$", "$3-$2-$1"),
+    (r"^(\d{1,2})[/.\-](\d{1,2})[/.\-]([0-6]\d)$", "20$3-$2-$1"),
+    (r"^(\d{1,2})[/.\-](\d{1,2})[/.\-]([7-9]\d)$", "19$3-$2-$1"),
+]
+# Dates with a month by name, brought to (day, first three letters, year).
+_NAMED_DATES = [
+    (r"^(\d{1,2})(?:st|nd|rd|th)?[ \-/.]+([A-Za-z]{3})[A-Za-z]*\.?,?[ \-/.]+(\d{4})$", "$1 $2 $3"),
+    (r"^([A-Za-z]{3})[A-Za-z]*\.?[ \-]+(\d{1,2})(?:st|nd|rd|th)?,?[ \-]+(\d{4})$", "$2 $1 $3"),
+]
+_HALF_DAY = r"(?i)^(\d{1,2})(?::(\d{2}))?(?::(\d{2}))?\s*([ap])\.?m\.?$"
+
+
+def _time_of_day(text: Column) -> Column:
+    """``2:30 PM`` as ``14:30:00``; other times as they are."""
+    hour = F.regexp_extract(text, _HALF_DAY, 1).try_cast("int") % 12
+    later = F.when(F.lower(F.regexp_extract(text, _HALF_DAY, 4)) == "p", 12).otherwise(0)
+    part = lambda i: F.lpad(F.regexp_extract(text, _HALF_DAY, i), 2, "0")  # noqa: E731  an absent part is 00
+    clock = F.concat_ws(":", F.lpad((hour + later).cast("string"), 2, "0"), part(2), part(3))
+    return F.when(text.rlike(_HALF_DAY), clock).otherwise(text)
 
 
 def parse_datetime(c: Column) -> Column:
-    """timestamp of a text cell, null for blanks, zero dates, ``NaT`` and other unreadable text."""
-    cell = c.cast("string")
-    year_first = F.regexp_replace(strip(cell), _DAY_FIRST, "$3-$2-$1")
-    named = F.try_to_timestamp(F.translate(strip(cell), "-", " "), F.lit("d MMM yyyy"))
-    return (
-        F.when(cell.rlike(_DATED), year_first.try_cast("timestamp_ntz"))
-        .when(cell.rlike(_NAMED_MONTH), named.cast("timestamp_ntz"))
-    )
+    """timestamp of a text cell, null for blanks, zero dates, ``NaT`` and other unreadable text.
+
+    Year first, day first (also with two digits for the year, 1970 to 2069), digits only, and
+    months by name on either side of the day; a time of day may follow, also with AM or PM.
+    """
+    cell = strip(c.cast("string"))
+    has_time = cell.rlike(_SPLIT)
+    day = strip(F.when(has_time, F.regexp_extract(cell, _SPLIT, 1)).otherwise(cell))
+    time = F.when(has_time, F.concat(F.lit(" "), _time_of_day(F.regexp_extract(cell, _SPLIT, 2)))).otherwise("")
+    found = F.lit(None).cast("string")
+    for pattern, order in reversed(_NAMED_DATES):
+        named = F.try_to_timestamp(F.initcap(F.regexp_replace(day, pattern, order)), F.lit("d MMM yyyy"))
+        found = F.when(day.rlike(pattern), F.date_format(named, "yyyy-MM-dd")).otherwise(found)
+    for pattern, order in reversed(_NUMERIC_DATES):
+        found = F.when(day.rlike(pattern), F.regexp_replace(day, pattern, order)).otherwise(found)
+    return F.concat(found, time).try_cast("timestamp_ntz")
 
 
 def clean_date(c: Column) -> Column:

@@ -49,11 +49,6 @@ def number_of(df: DataFrame, name: str, loose: bool = True) -> Column:
     return numeric_loose(F.col(name)) if loose else parse_number(F.col(name))
 
 
-def money(c: Column) -> Column:
-    """A double as the decimal that totals are summed in."""
-    return c.try_cast(MONEY)
-
-
 def boolean_text(c: Column) -> Column:
     """F12 cell test: is the non-null cell one of 0, 1, 0.0, 1.0?"""
     return strip(c).isin(fv.BOOLEAN_TEXTS)
@@ -74,13 +69,14 @@ def risk_level(score: Column, high: float, medium: float) -> Column:
     return F.when(score >= high, "High").when(score >= medium, "Medium").otherwise("Low")
 
 
-def variance_pct(actual: Column, budget: Column) -> Column:
+def variance_pct(actual: Column, budget: Column, by_size: bool = False) -> Column:
     """change against the budget in percent, 0 when the budget is nil.
 
-    The divisor is the absolute budget; for the positive totals of revenue that is
-    the plain budget.
+    The divisor is the budget with its sign, as for revenue; ``by_size`` divides by its
+    absolute value, as for margins, where a negative budget is usual.
     """
-    return F.when(F.abs(budget) > 1e-9, (actual - budget) / F.abs(budget) * 100).otherwise(F.lit(0.0))
+    divisor = F.abs(budget) if by_size else budget
+    return F.when(F.abs(budget) > 1e-9, (actual - budget) / divisor * 100).otherwise(F.lit(0.0))
 
 
 def gross_margin(price: Column, cost: Column) -> Column:

@@ -140,13 +140,12 @@ def price_band_edges(
     """Rows per probe that add up to its history counts with a price within a quarter of
     the asked price.
 
-    ``probes`` is a staged table with ``probe_id``, ``team_key``, the scope columns,
-    ``scope_rows`` and ``price``.
+    ``probes`` has ``probe_id``, ``team_key``, the scope columns and ``price``.
     """
     banded = probes.withColumn("low", F.col("price") * 0.75).withColumn("high", F.col("price") * 1.25)
     return band_edges(
         scoped_history(jobs), banded, ["team_key", *SCOPE], "budget_revenue", "low", "high",
-        measures, probe_id, "scope_rows",
+        measures, probe_id,
     )
 
 

@@ -74,7 +74,11 @@ def canonical_jobs(df: DataFrame) -> DataFrame:
 
 
 def canonical_intake(df: DataFrame, job_id: str = "job_id") -> DataFrame:
-    """Typed intake jobs: partner, job type, area, price, cost and lead time."""
+    """Typed intake jobs: partner, job type, area, price, cost and lead time.
+
+    ``row_id`` tells the rows of this table apart, whatever their job ids; store the table
+    where several results of it are joined.
+    """
 
     def pick(names: list[str]) -> Column:
         return text.first_filled(*[column_or_null(df, n) for n in names])
@@ -97,7 +101,7 @@ def canonical_intake(df: DataFrame, job_id: str = "job_id") -> DataFrame:
         numbers.numeric_loose(column_or_null(df, "budget_cost")).alias("cost"),
     )
     lead = dates.whole_days(F.col("start_at"), F.col("due_at"))
-    return parsed.withColumn("lead_days", lead).drop("start_at", "due_at")
+    return parsed.withColumns({"lead_days": lead, "row_id": F.monotonically_increasing_id()}).drop("start_at", "due_at")
 
 
 def intake_readiness(df: DataFrame, job_id: str = "job_id") -> DataFrame:

@@ -5,10 +5,12 @@ A window over a whole group would sort that group in one task, which breaks when
 single key holds a large part of the table. All operators here work in two levels:
 
 1. rows are first reduced to one per (group, value), combined on the map side;
-2. values fall into order-preserving bins of relative width ``1 / BINS_PER_E``.
-   Totals per (group, bin) give each bin its start, in a window of a few thousand small
-   rows per group however large the table is, and only the distinct values of one
-   (group, bin) are ever sorted together.
+2. the values of a group fall into up to ``CUTS`` + 1 bins of about as many distinct values
+   each, cut at quantiles of the group itself (a mergeable sketch), so epochs, scores near
+   zero and prices are all spread alike. Totals per (group, bin) give each bin its start,
+   and only the distinct values of one (group, bin) are ever sorted together.
+
+The cuts only decide where rows are sorted; results are exact whatever they are.
 """
 
 from __future__ import annotations
@@ -17,16 +19,17 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from jobsight.session import stage
 
-BINS_PER_E = 2 ** 8
-# A group of up to this many rows is sorted in one task without trouble.
-SMALL_GROUP = 200_000
+CUTS = 48
 _ALL = "_all_rows"
 
 
-def value_bin(value: Column) -> Column:
-    """Bin number that never decreases with the value (sign-aware logarithmic steps)."""
-    size = F.floor(F.least(F.log1p(F.abs(value)), F.lit(800.0)) * BINS_PER_E)
-    return F.when(value < 0, -size - 1).otherwise(size)
+def with_bins(points: DataFrame, cut_by: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add ``_bin``, which never decreases with the value within a group: how many of the
+    quantiles of ``cut_by`` (rows of keys and value) are below it."""
+    at = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
+    cuts = cut_by.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), at, 1000).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(value).cast("double")))
+    return points.join(cuts, keys, "left").withColumn("_bin", F.coalesce(F.when(F.col("_cuts").isNotNull(), below), F.lit(0))).drop("_cuts")
 
 
 def _bin_starts(binned: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
@@ -47,11 +50,8 @@ def running_totals(df: DataFrame, keys: list[str], value: str, measures: list[st
     """One row per (keys, value): the sum of each measure, and ``below_<m>``, its sum over
     all smaller values of the group. Keys and value must not be null."""
     df, keys = _keyed(df, keys)
-    points = (
-        df.groupBy(*keys, value)
-        .agg(*[F.sum(m).alias(m) for m in measures])
-        .withColumn("_bin", value_bin(F.col(value).cast("double")))
-    )
+    totals = df.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures])
+    points = with_bins(totals, totals, keys, value)
     starts = _bin_starts(points, keys, measures)
     below = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     inside = points.select(
@@ -74,12 +74,12 @@ def exact_quantiles(
     without values gives no row. Only the bins that hold a wanted rank are sorted.
     """
     df, keys = _keyed(df, keys)
-    points = (
+    counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", value_bin(F.col("_value")))
     )
+    points = with_bins(counted, counted, keys, "_value")
     in_group = W.partitionBy(*keys)
     bins = (
         points.groupBy(*keys, "_bin")
@@ -120,17 +120,6 @@ def exact_quantiles(
     return picked.select(*[k for k in keys if k != _ALL], *results)
 
 
-def _salted(probes: DataFrame, keys: list[str], probe_id: list[str]) -> DataFrame:
-    """Spread the probes of a group that has more than ``SMALL_GROUP`` of them over that many salts."""
-    crowded = (
-        probes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
-        .where(F.col("_asked") > SMALL_GROUP)
-        .select(*keys, F.ceil(F.col("_asked") / SMALL_GROUP).alias("_salts"))
-    )
-    salt = F.pmod(F.xxhash64(*probe_id), F.coalesce("_salts", F.lit(1)))
-    return probes.join(crowded, keys, "left").withColumn("_salt", salt).drop("_salts")
-
-
 def band_edges(
     facts: DataFrame,
     probes: DataFrame,
@@ -140,69 +129,50 @@ def band_edges(
     high: str,
     measures: list[str],
     probe_id: list[str],
-    group_rows: str,
 ) -> DataFrame:
     """Two rows per probe, whose measures add up to the sums over the facts of its group with
     a value in ``[low, high]``, both ends included (J5).
 
-    The band is a difference of two running totals, so the cost is a sort of facts and
-    probes together: no pair of a probe and a fact is ever formed. The groups that are
-    asked for get a number, so facts of other groups are dropped before the shuffle and
-    rows sort by numbers only. ``group_rows`` is a probe column with the number of fact
-    rows of its group: groups up to ``SMALL_GROUP`` are sorted whole, larger ones bin by
-    bin. Where many probes ask for one small group, its facts are repeated for every
-    ``SMALL_GROUP`` probes, so hot groups spread over tasks on both sides. Probes must be
-    unique by ``probe_id``; those with an empty band (low above high) give no row. Probes
-    are read several times, so pass a staged table.
+    The band is a difference of two running totals, so the cost is a sort of facts and edges
+    together: no pair of a probe and a fact is ever formed. Facts of groups that nobody asks
+    for are dropped, facts and edges are both reduced to one row per group and value before
+    they are sorted, bin by bin, and the totals go back to the probes by an equi-join. Many
+    probes at one price thus cost one edge. Probes must be unique by ``probe_id``; those with
+    an empty band (low above high) give no row.
     """
     # At equal values a low edge sorts before the facts and a high edge after them.
     edge = lambda at, side: F.struct(F.col(at).cast("double").alias("_at"), F.lit(side).alias("_side"))
-    zero = [F.lit(0).cast("long").alias(m) for m in measures]
-
-    def line_for(asked: DataFrame, group: list[str]) -> DataFrame:
-        numbered = asked.select(*group).distinct().withColumn("_group", F.monotonically_increasing_id())
-        groups = stage(numbered, "band_groups")  # written, so that a number never changes
-        marks = (
-            facts.where(F.col(value).isNotNull())
-            .join(groups, keys)
-            .groupBy("_group", F.col(value).cast("double").alias("_at"))
-            .agg(*[F.sum(m).alias(m) for m in measures])
-            .withColumn("_side", F.lit(1))
-        )
-        edges = asked.join(groups, group).select(
-            "_group", *probe_id, F.inline(F.array(edge(low, 0), edge(high, 2)))
-        ).select("*", *zero)
-        return marks.unionByName(edges, allowMissingColumns=True)
-
-    def upto(group: list[str], m: str) -> Column:
-        window = W.partitionBy(*group).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
-        return F.sum(m).over(window).alias(f"_to_{m}")
-
-    valid = probes.where(F.col(low) <= F.col(high))
-    whole = valid.where(F.col(group_rows) <= SMALL_GROUP)
-    group = keys
-    if probes.count() > SMALL_GROUP:
-        whole, group = _salted(whole, keys, probe_id), [*keys, "_salt"]
-    read = line_for(whole, group).select("*", *[upto(["_group"], m) for m in measures]).where("_side != 1")
-    wide = valid.where(F.col(group_rows) > SMALL_GROUP)
-    if not wide.isEmpty():
-        line = line_for(wide, keys).withColumn("_bin", value_bin(F.col("_at")))
-        starts = _bin_starts(line, ["_group"], measures)
-        binned = (
-            line.select("*", *[upto(["_group", "_bin"], m) for m in measures])
-            .where("_side != 1")
-            .join(starts, ["_group", "_bin"])
-            .withColumns({f"_to_{m}": F.col(f"_start_{m}") + F.col(f"_to_{m}") for m in measures})
-        )
-        read = read.unionByName(binned.select(*read.columns))
+    asked = probes.where(F.col(low) <= F.col(high)).select(
+        *keys, *[c for c in probe_id if c not in keys], F.inline(F.array(edge(low, 0), edge(high, 2)))
+    )
+    marks = (
+        facts.where(F.col(value).isNotNull())
+        .join(asked.select(*keys).distinct(), keys, "left_semi")
+        .groupBy(*keys, F.col(value).cast("double").alias("_at"))
+        .agg(*[F.sum(m).alias(m) for m in measures])
+    )
+    edges = asked.select(*keys, "_at", "_side").distinct()
+    line = marks.withColumn("_side", F.lit(1)).unionByName(
+        edges.select("*", *[F.lit(0).cast("long").alias(m) for m in measures])
+    )
+    binned = with_bins(line, marks, keys, "_at")
+    starts = _bin_starts(binned, keys, measures)
+    upto = W.partitionBy(*keys, "_bin").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+    read = (
+        binned.select("*", *[F.sum(m).over(upto).alias(f"_to_{m}") for m in measures]).where("_side != 1")
+        .join(starts, [*keys, "_bin"])
+        .select(*keys, "_at", "_side", *[(F.col(f"_start_{m}") + F.col(f"_to_{m}")).alias(f"_to_{m}") for m in measures])
+    )
     sign = F.col("_side") - 1
-    return read.select(*probe_id, *[(sign * F.col(f"_to_{m}")).alias(m) for m in measures])
+    return asked.join(read, [*keys, "_at", "_side"]).select(
+        *probe_id, *[(sign * F.col(f"_to_{m}")).alias(m) for m in measures]
+    )
 
 
 def band_totals(facts: DataFrame, probes: DataFrame, keys: list[str], value: str, low: str, high: str,
-                measures: list[str], probe_id: list[str], group_rows: str) -> DataFrame:
+                measures: list[str], probe_id: list[str]) -> DataFrame:
     """One row per probe: the sums that ``band_edges`` adds up to."""
-    edges = band_edges(facts, probes, keys, value, low, high, measures, probe_id, group_rows)
+    edges = band_edges(facts, probes, keys, value, low, high, measures, probe_id)
     return edges.groupBy(*probe_id).agg(*[F.sum(m).alias(m) for m in measures])
 
 

@@ -18,7 +18,7 @@ from jobsight.operators.ordered import mix_order, number_rows
 
 @dataclass(frozen=True)
 class Policy:
-    """How many rows the prepared dataset may hold and which column identifies a row."""
+    """How many rows the prepared dataset may hold and which columns order its rows."""
 
     row_key: list[str] = field(default_factory=lambda: ["project_no"])
     target_rows: int = fv.PREPARE_TARGET_ROWS
@@ -70,6 +70,11 @@ def sample_priority(df: DataFrame, rows: int) -> DataFrame:
     return df.where("_priority").orderBy("_order").limit(rows)
 
 
+def whole_row(columns: list[str]) -> Column:
+    """What tells rows apart: the digest of all cells, so rows without a number stay separate."""
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])).cast("binary"))
+
+
 def select_rows(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """The rows of the prepared dataset.
 
@@ -77,19 +82,21 @@ def select_rows(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
     target, all chosen priority rows stay and the others fill the free places in hash order.
     """
     eligible = of_top_teams(complete_rows(df), policy.top_teams)
-    marked = eligible.withColumn("_priority", is_priority(df)).withColumn(
-        "_order", mix_order(policy.seed, *policy.row_key)
+    key = [c for c in policy.row_key if c in df.columns]
+    marked = (
+        eligible.withColumn("_priority", is_priority(df)).withColumn("_row", whole_row(df.columns))
+        .withColumn("_order", F.struct(mix_order(policy.seed, *key), F.col("_row")))
     )
     sampled = sample_per_team(marked, policy.rows_per_team).withColumn("_kept", F.lit(False))
     priority = sample_priority(marked, policy.target_rows // 3).withColumn("_kept", F.lit(True))
     # The flag says whether a row was chosen as a priority row.
     combined = (
         sampled.unionByName(priority)
-        .withColumn("_kept", F.max("_kept").over(W.partitionBy(*policy.row_key)))
-        .dropDuplicates(policy.row_key)
+        .withColumn("_kept", F.max("_kept").over(W.partitionBy("_row")))
+        .dropDuplicates(["_row"])
     )
     # Kept rows sort before the remainder, so one limit does both.
-    return combined.orderBy(F.desc("_kept"), "_order").limit(policy.target_rows).drop("_kept", "_order", "_priority")
+    return combined.orderBy(F.desc("_kept"), "_order").limit(policy.target_rows).drop("_kept", "_order", "_priority", "_row")
 
 
 def client_aliases(df: DataFrame) -> DataFrame:
@@ -105,8 +112,9 @@ def client_aliases(df: DataFrame) -> DataFrame:
 def number_jobs(df: DataFrame, row_key: list[str]) -> DataFrame:
     """Add ``job_number`` 1..n in the order (team, date, row key)."""
     start_at = dates.datetime_of(df, "date") if "date" in df.columns else F.lit(None).cast("timestamp_ntz")
-    ordered = df.withColumn("_start_at", start_at)
-    return number_rows(ordered, [F.col(c) for c in ("_team", "_start_at", *row_key)], "job_number").drop("_start_at")
+    ordered = df.withColumn("_start_at", start_at).withColumn("_row", whole_row(df.columns))
+    order = ["_team", "_start_at", *[c for c in row_key if c in df.columns], "_row"]
+    return number_rows(ordered, [F.col(c) for c in order], "job_number").drop("_start_at", "_row")
 
 
 def _code(prefix: str, number: Column, width: int = 6) -> Column:

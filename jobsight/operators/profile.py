@@ -174,12 +174,13 @@ def target_profiles(
     columns: list[str] | None = None,
     forced_task: str | None = None,
     test_size: float = 0.2,
-    max_items: int = 250,
+    max_items: int | None = None,
 ) -> DataFrame:
     """A5: one row per column: can it be a training target, as which task, and why not.
 
     F16: a numeric column with more than twenty distinct values is a regression target,
-    anything else a classification target; ``forced_task`` overrides.
+    anything else a classification target; ``forced_task`` overrides. ``max_items`` keeps the
+    first columns only (the form asks for 250); by default all are judged.
     """
     names = (columns or df.columns)[:max_items]
     facts = column_facts(df).where(F.col("column").isin(names))
@@ -217,16 +218,18 @@ def target_profiles(
     )
 
 
-def target_candidates(profiles: DataFrame, limit: int = 150) -> DataFrame:
-    """Trainable columns in column order."""
-    return profiles.where("is_trainable").orderBy("ordinal").limit(limit).select("ordinal", "column")
+def target_candidates(profiles: DataFrame, limit: int | None = None) -> DataFrame:
+    """Trainable columns in column order, all of them unless ``limit`` is given."""
+    found = profiles.where("is_trainable").orderBy("ordinal").select("ordinal", "column")
+    return found if limit is None else found.limit(limit)
 
 
-def trainable_first(profiles: DataFrame, limit: int = 80) -> DataFrame:
-    """Headers with the trainable ones first, each part in column order."""
-    return profiles.orderBy(F.desc("is_trainable"), "ordinal").limit(limit).select(
+def trainable_first(profiles: DataFrame, limit: int | None = None) -> DataFrame:
+    """Headers with the trainable ones first, each part in column order; all unless ``limit`` is given."""
+    found = profiles.orderBy(F.desc("is_trainable"), "ordinal").select(
         "column", "quality", "recommended_task_type", "is_trainable", "ordinal"
     )
+    return found if limit is None else found.limit(limit)
 
 
 def profile_rollup(profiles: DataFrame) -> DataFrame:

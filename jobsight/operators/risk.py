@@ -67,8 +67,8 @@ def with_similar_history(intake: DataFrame, jobs: DataFrame) -> DataFrame:
     by_type = F.col("type_n") >= gate
     by_area = F.when(by_type, F.col("both_n")).otherwise(F.col("area_n")) >= gate
     scoped = stage(matched.select("*", *scope_columns(by_type, by_area)), "asked_history")
-    bands = price_band_counts(jobs, scoped.where(F.col("price").isNotNull()), ["job_id"]).select(
-        "job_id", *[F.col(m).alias(f"band_{m}") for m in MEASURES]
+    bands = price_band_counts(jobs, scoped.where(F.col("price").isNotNull()), ["row_id"]).select(
+        "row_id", *[F.col(m).alias(f"band_{m}") for m in MEASURES]
     )
     whole = {"n": "total_jobs", "completed": "says_completed_jobs", "cancelled": "cancelled_jobs"}
 
@@ -82,7 +82,7 @@ def with_similar_history(intake: DataFrame, jobs: DataFrame) -> DataFrame:
         )
         return F.when(F.col("band_n") >= gate, F.col(f"band_{measure}")).otherwise(unpriced)
 
-    return scoped.join(bands, "job_id", "left").select(
+    return scoped.join(bands, "row_id", "left").select(
         *intake.columns,
         "total_jobs", "says_completed_jobs", "cancelled_jobs", "hse_signals", "damage_signals",
         "price_total", "priced_jobs", "median_price",

@@ -35,15 +35,19 @@ def guess_delimiter(header: str) -> str:
 
 
 def read_delimited(
-    spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False
+    spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool | None = None
 ) -> DataFrame:
     """Delimited text with a header line, all columns as text.
 
     Only the header line is looked at to find the delimiter. UTF-16 files and cells with
     line breaks need ``multi_line``, which makes each file one task; otherwise files are
-    split between tasks.
+    split between tasks. By default the lines decide: a line with an odd number of quotes
+    is part of such a cell.
     """
-    whole = multi_line or encoding.upper().startswith("UTF-16")
+    whole = encoding.upper().startswith("UTF-16")
+    if multi_line is None and not whole:
+        multi_line = has_open_quotes(spark, path)
+    whole = whole or bool(multi_line)
     first = spark.read.option("encoding", encoding).option("multiLine", whole).option("sep", "\u0001").option(
         "maxCharsPerColumn", -1
     ).csv(path).limit(1).head()
@@ -54,7 +58,13 @@ def read_delimited(
     )
 
 
-def load_dataset(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Does any line hold an odd number of quotes? Read without splitting cells, up to the first such line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def load_dataset(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
     """A dataset by its extension: delimited text, or a columnar or JSON table."""
     _check_path(spark, path)
     suffix = _suffix(path)

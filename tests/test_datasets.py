@@ -134,3 +134,40 @@ def test_drift_of_text_in_a_number_column(spark):
     signature = drift.baseline_signature(spark.createDataFrame([(1.0,), (3.0,)], "x double"))
     row = drift.drift_by_feature(signature, spark.createDataFrame([("2",), ("bad",), (None,)], "x string")).first()
     assert row.current_mean == 2.0 and row.drift_score == 0.0
+
+
+def test_quoted_line_breaks_are_found(spark, tmp_path):
+    """A cell with a line break keeps its row whole without any option."""
+    for name, text in (("broken.csv", 'a,b\n"one\ntwo",3\nx,"y ""z"""\n'), ("plain.csv", 'a,b\n"one two",3\nx,y\n')):
+        (tmp_path / name).write_text(text)
+    rows = files.read_delimited(spark, str(tmp_path / "broken.csv")).collect()
+    assert [tuple(r) for r in rows] == [("one\ntwo", "3"), ("x", 'y "z"')]
+    assert not files.has_open_quotes(spark, str(tmp_path / "plain.csv"))
+    assert files.read_delimited(spark, str(tmp_path / "plain.csv")).count() == 2
+
+
+def test_encoding_reaches_the_profile(spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes("Größe,price\nklein,£500.00\ngroß,£7\n".encode("latin-1"))
+    df = workflows.typed_dataset(spark, str(tmp_path / "latin.csv"), encoding="ISO-8859-1")
+    assert [r[1] for r in df.orderBy(df.columns[1]).collect()] == ["£500.00", "£7"] or df.count() == 2
+    assert "ö" in df.columns[0]
+
+
+def test_rows_without_a_number_stay(spark):
+    """Rows are told apart by their whole content: null and repeated numbers don't drop any."""
+    names = fv.REQUIRED_COLUMNS
+    filled = [("x",) * len(names) for _ in range(20)]
+    df = spark.createDataFrame([(None if i < 5 else f"P{i % 8}", f"note {i}", *r) for i, r in enumerate(filled)],
+                               ", ".join(["project_no string", "note string", *[f"{c} string" for c in names if c != "project_no"], *(["extra string"] if "project_no" in names else [])]))
+    df = df.withColumn("related_contacts", F.lit("Team")) if "related_contacts" not in df.columns else df
+    assert prepare.select_rows(df).count() == prepare.complete_rows(df).count()
+    assert prepare.select_rows(df.drop("project_no")).count() == 20
+    assert prepare.select_rows(df.unionByName(df)).count() == prepare.complete_rows(df).count()  # equal rows are one
+
+
+def test_no_column_is_left_out(spark):
+    """Past the 250th column and the 150th candidate nothing is cut."""
+    df = spark.createDataFrame([tuple(i % 2 for _ in range(260)) for i in range(40)], ", ".join(f"c{i} long" for i in range(260)))
+    verdicts = profile.target_profiles(df)
+    assert verdicts.count() == 260 and profile.target_candidates(verdicts).count() == 260
+    assert profile.target_candidates(verdicts, 150).count() == 150 and profile.target_profiles(df, max_items=250).count() == 250

@@ -88,7 +88,9 @@ def test_status_words(spark):
 def test_percentages(spark):
     assert apply(spark, numbers.pct, [0.1234, -1.0, 2.0], "double") == [12.3, 0.0, 100.0]
     assert apply(spark, lambda c: numbers.risk_level(c, 25, 12), [25.0, 12.0, 11.9], "double") == ["High", "Medium", "Low"]
-    assert apply(spark, lambda c: numbers.variance_pct(F.lit(5.0), c), [10.0, 0.0, -10.0], "double") == [-50.0, 0.0, 150.0]
+    assert apply(spark, lambda c: numbers.variance_pct(F.lit(5.0), c), [10.0, 0.0, -10.0], "double") == [-50.0, 0.0, -150.0]
+    assert apply(spark, lambda c: numbers.variance_pct(F.lit(-50.0), c), [-100.0], "double") == [-50.0]
+    assert apply(spark, lambda c: numbers.variance_pct(F.lit(5.0), c, True), [10.0, 0.0, -10.0], "double") == [-50.0, 0.0, 150.0]
 
 
 def test_names(spark):
@@ -156,3 +158,15 @@ def test_outward_model(spark, cells):
 def test_duration_model(spark, clocks):
     got = apply(spark, dates.duration_hours, [f"{h}:{m:02d}:{s:02d}" for h, m, s in clocks])
     assert all(math.isclose(g, h + m / 60 + s / 3600, abs_tol=1e-9) for g, (h, m, s) in zip(got, clocks))
+
+
+@pytest.mark.parametrize("cell,want", [
+    ("2024/03/05", "2024-03-05 00:00:00"), ("05/03/24", "2024-03-05 00:00:00"), ("5 March 2024", "2024-03-05 00:00:00"),
+    ("Mar 5, 2024", "2024-03-05 00:00:00"), ("20240305", "2024-03-05 00:00:00"), ("05/03/2024 2:30 PM", "2024-03-05 14:30:00"),
+    ("5-Mar-2024", "2024-03-05 00:00:00"), ("march 5th 2024 12:05 am", "2024-03-05 00:05:00"), ("2024-03-05T14:30:15", "2024-03-05 14:30:15"),
+    ("05.03.2024 07:08", "2024-03-05 07:08:00"), ("05/03/99", "1999-03-05 00:00:00"), ("2024-3-5 9:07:01.5", "2024-03-05 09:07:01.5"),
+    ("31/02/2024", None), ("0000-00-00", None), ("Foo 5, 2024", None), ("5 Marvel 2024 x", None), ("12", None), ("2024", None), ("NaT", None), ("", None),
+])
+def test_date_spellings(spark, cell, want):
+    got = spark.range(1).select(dates.parse_datetime(F.lit(cell)).cast("string")).first()[0]
+    assert got == want

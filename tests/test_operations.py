@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobsight import fixed_values as fv
-from jobsight.operators import decisions, entities, history, ingest, ordered, risk, teams
+from jobsight.operators import decisions, entities, history, ingest, risk, teams
 from jobsight.plans import workflows
 
 TYPES, AREAS = ["Roof repair", "Gable", "Render"], ["N1 1AA", "N2 2BB", "SW1A 1AA"]
@@ -80,9 +80,7 @@ def naive_history(raw, key):
     return found
 
 
-@pytest.mark.parametrize("small_group", [10 ** 9, 20])
-def test_similar_history_is_sequential(spark, raw, jobs, intake, small_group, monkeypatch):
-    monkeypatch.setattr(ordered, "SMALL_GROUP", small_group)
+def test_similar_history_is_sequential(spark, raw, jobs, intake):
     got = {r.job_id: r for r in risk.with_similar_history(intake, jobs).collect()}
     assert set(got) == {"a", "b", "c", "d"}
     for job in got.values():
@@ -204,3 +202,36 @@ def test_score_jobs_workflow(spark, raw, asked):
     assert out["assessments"].count() == 4 and out["errors"].count() == 2
     log = out["assessments"]
     assert decisions.assessment_highlights(log).first().runs == 4
+
+
+def test_rows_with_equal_or_no_job_ids_are_scored_alone(spark, raw, jobs, asked):
+    """Two intake rows with one id, or with none, don't add up."""
+    names = "job_id related_contacts c_scaffoldpurpose c_homeownerpostcode budget_revenue budget_cost date due_date".split()
+    schema = ", ".join(f"{c} string" for c in names)
+    alone = {r[0]: r for r in asked[:4]}
+    rows = [("same", *alone["a"][1:]), ("same", *alone["a"][1:]), ("same", *alone["b"][1:]), (None, *alone["a"][1:]), (None, *alone["d"][1:])]
+    history_rows = spark.createDataFrame(raw, ", ".join(f"{c} string" for c in COLUMNS))
+
+    def results(given):
+        out = workflows.score_jobs(spark.createDataFrame(given, schema), history_rows)
+        scores = sorted(tuple(r) for r in out["scores"].select("partner", "similar_n", "failure_pct", "hse_pct").collect())
+        boards = sorted(tuple(r) for r in out["leaderboard"].select("team", "rank", "fit_score", "similar_jobs").collect())
+        logged = sorted((r["scaffolder"], r["best_team"], r["fit_score"]) for r in out["assessments"].collect())
+        return scores, boards, logged
+
+    together = results(rows)
+    single = [results([(f"r{i}", *r[1:])]) for i, r in enumerate(rows)]
+    for k in range(3):
+        assert together[k] == sorted(x for s in single for x in s[k])
+
+
+def test_stream_keeps_what_cannot_be_scored(spark, raw, asked, jobs, tmp_path):
+    from jobsight.streaming import intake as streaming
+
+    names = "job_id related_contacts c_scaffoldpurpose c_homeownerpostcode budget_revenue budget_cost date due_date".split()
+    spark.createDataFrame(asked, ", ".join(f"{c} string" for c in names)).write.parquet(f"{tmp_path}/in")
+    stream = streaming.read_intake_files(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    streaming.score_stream(stream, lambda: jobs, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    scored = {r.job_id for r in spark.read.parquet(f"{tmp_path}/out/scores").collect()}
+    errors = {r.job_id: r.error for r in spark.read.parquet(f"{tmp_path}/out/errors").collect()}
+    assert scored == {"a", "b", "c", "d"} and set(errors) == {"e", "f"} and "Nobody" in errors["e"]

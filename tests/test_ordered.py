@@ -29,11 +29,19 @@ def by_key(facts):
     return groups
 
 
-def test_value_bin_keeps_order(spark):
-    values = sorted([-1e12, -5.5, -5.4, -1e-9, 0.0, 1e-9, 0.5, 1.0, 1.001, 99.0, 1e6, 1e18, 1e300])
-    rows = spark.createDataFrame([(v,) for v in values], "v double")
-    bins = [r[0] for r in rows.select(ordered.value_bin(F.col("v")), "v").orderBy("v").collect()]
+@pytest.mark.parametrize("values", [
+    [1.7e9 + i for i in range(4000)],  # epochs
+    [i / 4e5 for i in range(4000)],  # scores near zero
+    [-(1.5 ** (i % 900)) for i in range(4000)],
+    [float(i % 4) for i in range(4000)],
+])
+def test_bins_keep_order_and_bound_what_is_sorted(spark, values):
+    """Whatever the scale of the values, a bin holds few of a group's distinct values."""
+    df = spark.createDataFrame([("hot", v) for v in set(values)] + [("one", 1.0)], "k string, v double")
+    rows = [r for r in ordered.with_bins(df, df, ["k"], "v").orderBy("v").collect() if r.k == "hot"]
+    bins = [r["_bin"] for r in rows]
     assert bins == sorted(bins)
+    assert max(bins.count(b) for b in set(bins)) <= max(2, 3 * len(rows) / ordered.CUTS)
 
 
 def test_exact_quantiles(spark, facts):
@@ -61,22 +69,21 @@ def test_running_totals(spark, facts):
         assert row.below_n == sum(1 for x in groups[row.k] if x < row.v)
 
 
-@pytest.mark.parametrize("small_group", [10 ** 9, 100, 1])
-def test_band_totals(spark, facts, small_group, monkeypatch):
-    """Whole groups, binned groups and a mix give the same exact sums."""
-    monkeypatch.setattr(ordered, "SMALL_GROUP", small_group)
+@pytest.mark.parametrize("cuts", [48, 3, 1])
+def test_band_totals(spark, facts, cuts, monkeypatch):
+    """Any number of bins gives the same exact sums."""
+    monkeypatch.setattr(ordered, "CUTS", cuts)
     rng = random.Random(3)
     groups = by_key(facts)
-    sizes = {k: len(v) for k, v in groups.items()}
     asked = []
     for i in range(300):
         key = rng.choice(["hot", "hot", "one", "k1", "k7", "absent"])
         low = rng.choice([rng.uniform(-60, 5000), 100.0, 5.0, 3.3])
-        asked.append((i, key, low, low + rng.choice([0.0, 1.0, 500.0, -1.0]), sizes.get(key, 0)))
-    probes = spark.createDataFrame(asked, "id long, k string, low double, high double, size long")
+        asked.append((i, key, low, low + rng.choice([0.0, 1.0, 500.0, -1.0])))
+    probes = spark.createDataFrame(asked, "id long, k string, low double, high double")
     df = spark.createDataFrame(facts, "k string, v double").withColumns({"n": F.lit(1), "w": F.round("v").cast("long")})
-    got = {r.id: r for r in band_totals(df, probes, ["k"], "v", "low", "high", ["n", "w"], ["id"], "size").collect()}
-    for i, key, low, high, _ in asked:
+    got = {r.id: r for r in band_totals(df, probes, ["k"], "v", "low", "high", ["n", "w"], ["id"]).collect()}
+    for i, key, low, high in asked:
         if low > high:
             assert i not in got
             continue
@@ -84,15 +91,13 @@ def test_band_totals(spark, facts, small_group, monkeypatch):
         assert got[i].n == len(hits)
 
 
-def test_crowded_groups_are_salted(spark, monkeypatch):
-    """More probes than a task should hold: the group is repeated per salt, results stay the same."""
-    monkeypatch.setattr(ordered, "SMALL_GROUP", 50)
+def test_many_probes_at_one_price(spark):
+    """Equal edges are sorted once and every probe gets its total."""
     facts = spark.createDataFrame([("g", float(i)) for i in range(40)] + [("h", 1.0)], "k string, v double").withColumn("n", F.lit(1))
     probes = spark.createDataFrame(
-        [(i, "g", float(i % 60) - 5, float(i % 60), 40) for i in range(400)] + [(400, "h", 0.0, 2.0, 1)],
-        "id long, k string, low double, high double, size long")
-    got = {r.id: r.n for r in band_totals(facts, probes, ["k"], "v", "low", "high", ["n"], ["id"], "size").collect()}
-    assert got == {**{i: sum(i % 60 - 5 <= x <= i % 60 for x in range(40)) for i in range(400)}, 400: 1}
+        [(i, "g", float(i % 3) - 5, float(i % 3) + 7) for i in range(400)] + [(400, "h", 0.0, 2.0)], "id long, k string, low double, high double")
+    got = {r.id: r.n for r in band_totals(facts, probes, ["k"], "v", "low", "high", ["n"], ["id"]).collect()}
+    assert got == {**{i: 8 + i % 3 for i in range(400)}, 400: 1}
 
 
 def test_number_rows(spark):
