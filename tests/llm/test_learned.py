@@ -72,9 +72,21 @@ def test_toxicity_learns(labelled):
     assert kept == {r["doc_id"] for r in toxicity.toxicity_scores(docs, model).where("predicted = 0").collect()}
 
 
+def test_stems_are_learned(spark):
+    """A stem whose endings differ in every document is found by its first letters, the narrowest that holds."""
+    rng = random.Random(3)
+    ends = [f"{a}{b}" for a in "abcdefghijklmnop" for b in "rstuvw"]
+    texts = [(i, f"good day to all of {rng.choice(ends)}. " + (f"some lowei{rng.choice(ends)} here" if i % 4 == 0 else f"some lowl{rng.choice(ends)} here")) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts], "doc_id long, toxic int"))
+    assert model.score("some loweixyz thing") > 0.7 > 0.3 > model.score("some lowlxyz thing. lower lowest")
+    assert "lowe*" not in model.weights and model.weights["lowei*"] > 1
+
+
 def test_noisy_or():
     """A document's score is 1 - prod(1 - p) of its sentences, also without any known word."""
-    model = toxicity.Model({"bad": 5.0, "fine": -1.0}, -4.0)
+    model = toxicity.Model({"bad": 5.0, "fine": -1.0, "awfu*": 3.0}, -4.0)
+    assert model.sentence("so awfully bad") == pytest.approx(1 / (1 + math.exp(-4)))
     for text in ("Bad day. fine fine! other\nwords", "nothing here. at all", "", "...", "bad"):
         p = [model.sentence(text[a:b]) for a, b in toxicity.sentences_of(text)]
         assert model.score(text) == pytest.approx(1 - math.prod(1 - x for x in p))
