@@ -174,7 +174,8 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size"))
 
     def joined(some: DataFrame) -> DataFrame:
-        return rows.alias("d").join(some.alias("p"), same).select("d._row", "d.doc_id", "d.source", "d.size", "n", "copies")
+        # The plan has a row per document: it is never broadcast, at no size.
+        return rows.alias("d").join(some.hint("merge").alias("p"), same).select("d._row", "d.doc_id", "d.source", "d.size", "n", "copies")
 
     found = joined(plan.where("n = 1")).select("_row", "copies")
     many = plan.where("n > 1")

@@ -86,10 +86,11 @@ def keep_one_per_group(docs: DataFrame, width: int = SHINGLE, radius: int = RADI
     stay = stage(stay, "simhash_kept")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    alone = rows.join(stay.where("_n = 1"), F.col("_id").eqNullSafe(F.col("doc_id"))).select("_row")
+    # The ids that stay grow with the corpus: they are never broadcast, at no size.
+    alone = rows.join(stay.where("_n = 1").hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id"))).select("_row")
     repeated = stay.where("_n > 1")
     if not repeated.isEmpty():  # rows that share the id that stays: the first by content
-        again = rows.join(repeated, F.col("_id").eqNullSafe(F.col("doc_id")))
+        again = rows.join(repeated.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id")))
         order = F.xxhash64(F.to_json("_row"))
         alone = alone.unionByName(again.groupBy("component_id").agg(F.min_by("_row", order).alias("_row")).select("_row"))
     return alone.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
