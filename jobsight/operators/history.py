@@ -97,26 +97,28 @@ def scoped_history(jobs: DataFrame) -> DataFrame:
     )
 
 
+def match_counts(jobs: DataFrame, by: list[str]) -> DataFrame:
+    """Rows, completed and cancelled jobs of every team per value of ``by``."""
+    return (
+        team_history(jobs).where(" and ".join(f"{c} is not null" for c in by))
+        .groupBy("team_key", *by)
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if("says_completed").alias("completed"),
+            F.count_if("is_cancelled").alias("cancelled"),
+        )
+    )
+
+
 def with_match_counts(asked: DataFrame, jobs: DataFrame) -> DataFrame:
     """Add to rows (team_key, job_type_key, area) the counts of the team's history that match
     by type (``type_*``), by area (``area_*``) and by both (``both_*``)."""
-    history = team_history(jobs)
     result = asked
     for prefix, by in (
         ("type", ["job_type_key"]), ("area", ["area"]), ("both", ["job_type_key", "area"]),
     ):
-        found = (
-            history.where(" and ".join(f"{c} is not null" for c in by))
-            .groupBy("team_key", *by)
-            .agg(
-                F.count(F.lit(1)).alias(f"{prefix}_n"),
-                F.count_if("says_completed").alias(f"{prefix}_completed"),
-                F.count_if("is_cancelled").alias(f"{prefix}_cancelled"),
-            )
-        )
-        result = result.join(found, ["team_key", *by], "left").fillna(
-            0, [f"{prefix}_n", f"{prefix}_completed", f"{prefix}_cancelled"]
-        )
+        found = match_counts(jobs, by).withColumnsRenamed({m: f"{prefix}_{m}" for m in MEASURES})
+        result = result.join(found, ["team_key", *by], "left").fillna(0, [f"{prefix}_{m}" for m in MEASURES])
     return result
 
 

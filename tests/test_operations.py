@@ -124,6 +124,15 @@ def test_leaderboard_gates_and_ranks(spark, raw, jobs, intake):
         assert len(mine) == 2 and any(r.is_selected for r in mine)
 
 
+def test_a_job_without_a_price_gets_the_neutral_price_fit(spark):
+    """Eight completed jobs of one team: 31 + 17 + 12 + 8, half of 12 and of 7, 8 for similar jobs, 0.62 of 5."""
+    rows = [(f"J{i}", "Solo", "Handed Over", 1000.0) for i in range(8)]
+    jobs = ingest.canonical_jobs(spark.createDataFrame(rows, "project_no string, related_contacts string, status string, budget_revenue double"))
+    asked = spark.createDataFrame([("x", "solo", None), ("y", "solo", "1000")], "job_id string, related_contacts string, budget_revenue string")
+    got = {r.job_id: r.fit_score for r in teams.ranked_teams(ingest.canonical_intake(asked), jobs).collect()}
+    assert got == {"x": round(68 + 9.5 + 6.4 + 3.1, 1), "y": round(68 + 9.5 + 6.4 + 5.0, 1)}
+
+
 def test_partitioning_does_not_change_results(spark, jobs, intake):
     one = sorted(teams.team_leaderboard(intake, jobs).collect())
     two = sorted(teams.team_leaderboard(intake.repartition(5), jobs.repartition(13)).collect())
