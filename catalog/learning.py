@@ -328,7 +328,7 @@ def batch_predict_regression(spark, sf):
 @query("e3_drift_check")
 def drift_check(spark, sf):
     store, done = classifier(spark, sf)
-    return workflows.drift_check(store, done["experiment"]["id"], damage_rows(spark, sf).where("date >= '1998-01-01'"))
+    return workflows.drift_check(store, done["experiment"]["id"], damage_rows(spark, sf))
 
 
 @query("r8_intake_template")
