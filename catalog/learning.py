@@ -121,7 +121,7 @@ def categories(spark, sf):
 
 @query("m3_modes", _CATEGORY_SQL + ' SELECT "column", value AS mode, n FROM categories WHERE place = 1')
 def modes(spark, sf):
-    return categories(spark, sf).where("place = 1").select("column", F.col("value").alias("mode"), "n")
+    return categories(spark, sf).where("is_mode").select("column", F.col("value").alias("mode"), "n")
 
 
 @query(
@@ -139,15 +139,43 @@ def rare_folding(spark, sf):
     return features.imputed(rows, plan, ["project_no"])
 
 
-@query("m5_assembled_features")
+_FOLDED = ", ".join(
+    f"""CASE WHEN coalesce({c}, (SELECT value FROM categories WHERE "column" = '{c}' AND place = 1))
+        IN (SELECT value FROM categories WHERE "column" = '{c}' AND NOT is_rare)
+        THEN coalesce({c}, (SELECT value FROM categories WHERE "column" = '{c}' AND place = 1)) ELSE '__rare__' END AS {c}"""
+    for c in _CATEGORIES
+)
+_SLOTS = " || ".join(
+    f"""array_to_string(list_transform((SELECT labels FROM label_sets WHERE "column" = '{c}'),
+        lambda x: CASE WHEN x = {c} THEN '1' ELSE '0' END), '')""" for c in _CATEGORIES
+)
+
+
+@query(
+    "m5_assembled_features",
+    _CATEGORY_SQL + f""", m AS (
+      SELECT median(CAST(budget_revenue AS DOUBLE)) AS r, median(CAST(actual_cost AS DOUBLE)) AS c FROM raw
+    ), label_sets AS (
+      SELECT "column", list_concat(coalesce(list(value ORDER BY value) FILTER (NOT is_rare), []),
+        CASE WHEN bool_or(is_rare) THEN ['__rare__'] ELSE [] END) AS labels FROM categories GROUP BY "column"
+    ), folded AS (SELECT project_no, budget_revenue, actual_cost, {_FOLDED} FROM raw)
+    SELECT project_no, round(coalesce(CAST(budget_revenue AS DOUBLE), r), 4) AS budget_revenue,
+      round(coalesce(CAST(actual_cost AS DOUBLE), c), 4) AS actual_cost, {_SLOTS} AS slots FROM folded, m""",
+)
 def assembled(spark, sf):
+    """The assembled vector: two numbers, then one digit for every slot of the one-hot parts."""
+    from pyspark.ml.functions import vector_to_array
+
     rows = raw_jobs(spark, sf)
     plan = features.FeaturePlan(numeric=["budget_revenue", "actual_cost"], categorical=list(_CATEGORIES))
     plan = features.fit_imputation(rows, plan)
     ready = features.imputed(rows, plan, ["project_no"])
-    from pyspark.ml.functions import vector_to_array
-
-    return features.assembler(ready, plan).transform(ready).select("project_no", vector_to_array("features").alias("features"))
+    vector = features.assembler(ready, plan).transform(ready).select("project_no", vector_to_array("features").alias("v"))
+    slots = F.transform(F.slice("v", 3, F.size("v") - 2), lambda x: x.cast("int").cast("string"))
+    return vector.select(
+        "project_no", F.round(F.get("v", F.lit(0)), 4).alias("budget_revenue"),
+        F.round(F.get("v", F.lit(1)), 4).alias("actual_cost"), F.array_join(slots, "").alias("slots"),
+    )
 
 
 # --- metrics -----------------------------------------------------------------------------------

@@ -111,20 +111,20 @@ def droppable(df: DataFrame, histogram: DataFrame) -> DataFrame:
 
 
 def category_plan(histogram: DataFrame) -> DataFrame:
-    """M3, M4: per (column, value) its count, place (1 is the mode, ties by value) and whether it
-    holds under one percent of the rows once nulls take the mode."""
-    filled = histogram.where("value is not null").withColumn(
-        "place", F.row_number().over(W.partitionBy("column").orderBy(F.desc("n"), "value"))
-    )
+    """M3, M4: per (column, value) its count, whether it is the mode (ties by value) and whether
+    it holds under one percent of the rows once nulls take the mode. No column is ever sorted."""
+    filled = F.col("value").isNotNull()
+    best_first = F.when(filled, F.struct((-F.col("n")).alias("order"), "value"))
     totals = histogram.groupBy("column").agg(
-        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls")
-    )
-    counted = filled.join(totals, "column").withColumn(
-        "n", F.col("n") + F.when(F.col("place") == 1, F.col("nulls")).otherwise(0)
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(~filled, F.col("n"))), F.lit(0)).alias("nulls"),
+        F.min_by("value", best_first).alias("mode"),
     )
-    return counted.select(
-        "column", "value", "n", "place", (F.col("n") < fv.RARE_SHARE * F.col("rows")).alias("is_rare")
+    is_mode = F.col("value") == F.col("mode")
+    counted = histogram.where(filled).join(totals, "column").select(
+        "column", "value", "rows", is_mode.alias("is_mode"),
+        (F.col("n") + F.when(is_mode, F.col("nulls")).otherwise(0)).alias("n"),
     )
+    return counted.select("column", "value", "n", "is_mode", (F.col("n") < fv.RARE_SHARE * F.col("rows")).alias("is_rare"))
 
 
 def plan_features(df: DataFrame, target: str) -> FeaturePlan:
@@ -158,7 +158,7 @@ def fit_imputation(train: DataFrame, plan: FeaturePlan) -> FeaturePlan:
         found = category_plan(value_histogram(train, plan.categorical)).orderBy("column", "value").collect()
         for name in plan.categorical:
             rows = [r for r in found if r.column == name]
-            plan.modes[name] = next((r.value for r in rows if r.place == 1), "")
+            plan.modes[name] = next((r.value for r in rows if r.is_mode), "")
             plan.frequent[name] = [r.value for r in rows if not r.is_rare]
             plan.rare[name] = [r.value for r in rows if r.is_rare]
         plan.categorical = [c for c in plan.categorical if plan.modes[c] != ""]
