@@ -7,7 +7,9 @@ of the rows post in a file, and a file is an array over the rows of the block. A
 nearest pivots and adds up, per row, the footrule distance: the sum over these pivots of the
 difference of the two ranks, where a pivot missing from a prefix has the rank ``prefix``. The
 rows with the smallest distances are compared exactly, in double precision, and the best of all
-blocks are merged.
+blocks are merged. Equal vectors of a block count as one in the shortlist, and all their rows are
+candidates with the same score, so a large group of copies takes one place there; different
+vectors at the same distance are taken by their smallest vec_id.
 
 Queries go in blocks too, so a task holds one block of rows and one of queries. On vectors
 without structure a neighbour's order of pivots is only loosely like the query's, so a fixed
@@ -47,8 +49,19 @@ def choose_pivots(rows: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
     if not sizes:
         return np.empty((0, 0))
     fitting = rows.where(F.size("v") == sizes[0]["n"])
-    some = fitting.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(pivots).collect()
-    return np.array([r["v"] for r in some])
+    firsts = fitting.groupBy(F.xxhash64("v").alias("h")).agg(F.min("vec_id").alias("vec_id"))
+    some = firsts.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id", "h").limit(pivots).collect()
+    places = {(r["vec_id"], r["h"]): i for i, r in enumerate(some)}
+    own = fitting.where(F.col("vec_id").isin([r["vec_id"] for r in some])).groupBy("vec_id", F.xxhash64("v").alias("h"))
+    found = [r for r in own.agg(F.first("v").alias("v")).collect() if (r["vec_id"], r["h"]) in places]
+    return np.array([r["v"] for r in sorted(found, key=lambda r: places[r["vec_id"], r["h"]])])
+
+
+def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different vectors in order of their first rows, and for every row the place of its vector."""
+    seen: dict[bytes, int] = {}
+    groups = np.array([seen.setdefault(r.tobytes(), len(seen)) for r in rows + 0.0])  # -0.0 equals 0.0
+    return rows[np.unique(groups, return_index=True)[1]], groups
 
 
 def ranks(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -57,19 +70,19 @@ def ranks(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 
 def shortlists(rows: np.ndarray, queries: np.ndarray, pivots: np.ndarray, prefix: int, most: int) -> list[np.ndarray]:
-    """Per query the ``most`` rows of a block with the smallest footrule distance."""
+    """Per query the ``most`` rows of a block with the smallest footrule distance, ties to the first row."""
     n, prefix = len(rows), min(prefix, len(pivots))
     if most >= n:
         return [np.arange(n)] * len(queries)
     # Inverted files: row p lists, for every row of the block, the rank that it posts for pivot p.
     files = np.full((len(pivots), n), prefix, np.int16)
     files[ranks(rows, pivots, prefix), np.arange(n)[:, None]] = np.arange(prefix, dtype=np.int16)
-    out, own = [], np.arange(prefix, dtype=np.int16)
+    out, own, place = [], np.arange(prefix, dtype=np.int16), np.arange(n)
     for mine in ranks(queries, pivots, prefix):
         far = np.zeros(n, np.int32)
         for start in range(0, prefix, 16):  # 16 files at a time stay in the processor's cache
             far += np.abs(files[mine[start:start + 16]] - own[start:start + 16, None]).sum(axis=0, dtype=np.int32)
-        out.append(np.argpartition(far, most - 1)[:most])
+        out.append(np.argpartition(far.astype(np.int64) * n + place, most - 1)[:most])
     return out
 
 
@@ -94,12 +107,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PI
         if not len(rows) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         rows, asked = rows.sort_values("vec_id"), asked.sort_values("vec_id")
-        a, q = np.stack(rows["v"].to_numpy()), np.stack(asked["v"].to_numpy())
+        a, groups = distinct(np.stack(rows["v"].to_numpy()))
+        q = np.stack(asked["v"].to_numpy())
         ids, found = rows["vec_id"].to_numpy(), []
-        most = min(len(a), max(least, int(np.ceil(share * len(a)))))
-        for i, (own, close) in enumerate(zip(asked["vec_id"].tolist(), shortlists(a, q, centres, prefix, most))):
-            close = close[ids[close] != own]
-            score = a[close] @ q[i]
+        most = min(len(a), max(least, int(np.ceil(share * len(ids)))))
+        for i, (own, near) in enumerate(zip(asked["vec_id"].tolist(), shortlists(a, q, centres, prefix, most))):
+            scores = np.full(len(a), -np.inf)
+            scores[near] = (a[near] * q[i]).sum(axis=1)  # the same for equal vectors of all blocks
+            close = np.flatnonzero((scores[groups] > -np.inf) & (ids != own))
+            score = scores[groups[close]]
             best = np.lexsort((ids[close], -score))[:k]
             found.append(pd.DataFrame({"query_id": own, "vec_id": ids[close][best], "score": score[best]}))
         return pd.concat(found)

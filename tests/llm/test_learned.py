@@ -317,3 +317,33 @@ def test_recall_in_a_whole_block():
     best = np.argsort(-(asked @ rows.T), axis=1)[:, 1:21]
     found = perm.shortlists(rows, asked, pivots, perm.PREFIX, most)
     assert np.mean([np.isin(b, f).mean() for b, f in zip(best, found)]) > 0.9
+
+
+def test_copies_in_a_full_block(spark):
+    """A third of a full block are copies of one vector, far more than a shortlist: ties go by id."""
+    rng = np.random.default_rng(7)
+    rows = rng.normal(size=(perm.BLOCK, 16))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    copies = np.sort(rng.choice(perm.BLOCK, perm.BLOCK // 3, replace=False))
+    rows[copies] = rows[copies[0]]
+    frame = perm.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"))
+    pivots = perm.choose_pivots(frame)
+    assert len(pivots) == len(np.unique(pivots, axis=0)) == perm.PIVOTS
+    asked = copies[::100].tolist()
+    found = defaultdict(list)
+    for r in perm.nearest(frame, frame.where(F.col("vec_id").isin(asked))).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["vec_id"])
+    assert dict(found) == {i: [j for j in copies[:21].tolist() if j != i][:20] for i in asked}
+
+
+def test_pivots_and_scores_of_equal_vectors(spark):
+    """Copies in several blocks, some with repeated ids and some with other vectors of one id."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(90, 5)))]
+    rows += [(i, rows[3][1]) for i in range(100, 160)] + [(3, rows[4][1]), (3, rows[3][1])]
+    frame = perm.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    pivots = perm.choose_pivots(frame)
+    assert {tuple(p) for p in pivots.tolist()} == {tuple(v) for _, v in rows} and len(pivots) == 90
+    found = perm.nearest(frame, frame.where("vec_id = 120"), k=30, block=32, least=20).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [3, 3, *[i for i in range(100, 160) if i != 120]][:30]
+    assert len({r["score"] for r in found}) == 1
