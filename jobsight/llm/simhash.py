@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsight.session import stage
 
@@ -55,14 +55,14 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, *more: Column, schema: str = "doc_id long, fp long") -> DataFrame:
+    """(doc_id, fp, more) with the fingerprint as a signed long; ``schema`` names what is returned."""
 
     def per_batch(rows: list[dict]) -> list[dict]:
-        marks = np.array([fingerprint(r["text"], width) for r in rows], np.uint64).view(np.int64).tolist()
-        return [{"doc_id": r["doc_id"], "fp": m} for r, m in zip(rows, marks)]
+        marks = np.array([fingerprint(r.pop("text"), width) for r in rows], np.uint64).view(np.int64).tolist()
+        return [{**r, "fp": m} for r, m in zip(rows, marks)]
 
-    return map_rows(whole_texts(docs), per_batch, "doc_id long, fp long")
+    return map_rows(whole_texts(docs, *more), per_batch, schema)
 
 
 def simhash_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -78,19 +78,31 @@ def simhash_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     )
 
 
+def _content(row: Column) -> Column:
+    """Digest of a whole row."""
+    return F.unhex(F.sha2(F.to_json(row), 256))
+
+
 def keep_one_per_group(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, all columns kept; of rows
-    with that id one stays."""
-    groups = simhash_groups(docs, width, radius)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("_n"))
-    stay = stage(stay, "simhash_kept")
+    """One row of ``docs`` per component, all columns kept: the one with the smallest id, a null id
+    last; of rows with that id the first by content. Rows are told apart by their whole content, so
+    null ids and ids that several texts share mix nothing."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    # The ids that stay grow with the corpus: they are never broadcast, at no size.
-    alone = rows.join(stay.where("_n = 1").hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id"))).select("_row")
-    repeated = stay.where("_n > 1")
-    if not repeated.isEmpty():  # rows that share the id that stays: the first by content
-        again = rows.join(repeated.hint("merge"), F.col("_id").eqNullSafe(F.col("doc_id")))
-        order = F.xxhash64(F.to_json("_row"))
-        alone = alone.unionByName(again.groupBy("component_id").agg(F.min_by("_row", order).alias("_row")).select("_row"))
+    rows = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    marks = stage(fingerprints(rows, width, _content(F.col("_row")).alias("content"),
+                               schema="doc_id long, content binary, fp long"), "fingerprints")
+    roots = components(near_links(marks, radius))
+    known = marks.groupBy("fp", "doc_id", "content").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content", "n")
+    firsts = known.groupBy("fp").agg(F.min(order).alias("first"))
+    firsts = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    best = firsts.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    stay = stage(best.select("first.content", "first.n"), "simhash_kept")
+    rows = rows.select("_row", _content(F.col("_row")).alias("content"))
+    # The rows that stay grow with the corpus: they are never broadcast, at no size.
+    alone = rows.join(stay.where("n = 1").hint("merge"), "content").select("_row")
+    repeated = stay.where("n > 1")
+    if not repeated.isEmpty():  # rows that are the same in all columns: one of them
+        again = rows.join(repeated.hint("merge"), "content")
+        alone = alone.unionByName(again.groupBy("content").agg(F.first("_row").alias("_row")).select("_row"))
     return alone.select(*[F.col(f"_row.`{c}`") for c in docs.columns])

@@ -95,6 +95,25 @@ def test_simhash_keeps_one(docs):
     assert len(ids) == len(set(ids)) == groups.select("component_id").distinct().count()
 
 
+def test_simhash_keeps_one_of_null_and_reused_ids(spark):
+    """Different texts without an id, or with one id, all stay; a near copy goes, whatever its id."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(12)]
+    near = " ".join([*texts[9].split(), "other"])
+    assert bin(brute_fingerprint(near) ^ brute_fingerprint(texts[9])).count("1") <= 4
+    rows = [(None, t, 0) for t in texts[:5]] + [(7, t, 0) for t in texts[5:8]]
+    rows += [(None, texts[8], 0)] * 3 + [(8, texts[9], 0), (None, near, 0), (7, texts[10], 0), (7, texts[10], 1), (9, texts[10], 0), (10, texts[11], 0), (None, texts[11], 0)]
+    assert len({*brute_components([brute_fingerprint(t) for t in texts], 4)}) == len(texts)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = [tuple(r) for r in simhash.keep_one_per_group(docs).collect()]
+    want = [*rows[:8], (None, texts[8], 0), (8, texts[9], 0), (10, texts[11], 0)]
+    assert Counter(r for r in kept if r[1] != texts[10]) == Counter(want)
+    assert [r[0] for r in kept if r[1] == texts[10]] == [7]
+    # One row without an id whose text is its own does not bring back the near copies.
+    few = docs.where(F.col("text").isin(texts[0], texts[9], near))
+    assert Counter(tuple(r) for r in simhash.keep_one_per_group(few).collect()) == Counter([rows[0], (8, texts[9], 0)])
+
+
 def test_simhash_empty(empty):
     assert simhash.simhash_groups(empty).count() == 0
     assert simhash.keep_one_per_group(empty).count() == 0
