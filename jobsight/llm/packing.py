@@ -4,8 +4,9 @@ Documents become token ids and a final end id; only a document longer than a seq
 into pieces of exactly one sequence and a rest. Each task packs the pieces of its own rows
 best-fit (longest first, into the fullest sequence with room) and emits the sequences that
 are nearly full. The underfull ones then meet others as items: they are dealt to fewer tasks,
-packed best-fit again, and so on up a tree until one task holds all that is left or a round
-no longer saves anything. A task holds ``ITEMS`` items at most in a round, whatever the
+packed best-fit again, and so on up a tree until one task holds all that is left. Sequences
+without room for the smallest item left can never change and leave the tree, so only those
+that something still fits go on. A task holds ``ITEMS`` items at most in a round, whatever the
 size of the input; a sequence travels with the list of its pieces, of which there are at
 most ``length``, so no join is needed.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 from math import ceil
 
 import numpy as np
@@ -34,8 +36,6 @@ END = 0
 SLACK = 64
 #: Items that one task packs in a round.
 ITEMS = 50_000
-#: A round that saves less than this share of the sequences is the last.
-GAIN = 0.01
 
 _PIECE = "doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint"
 BINS = f"fill int, pieces array<struct<{_PIECE}>>"
@@ -113,8 +113,8 @@ def packed_locally(docs: DataFrame, tokenizer: str, end: int = END, length: int
     return whole_texts(docs).mapInArrow(run, BINS)
 
 
-def _repacked(bins: DataFrame, tasks: int, length: int) -> DataFrame:
-    """Pack the bins again as items, dealt to so many tasks by their first piece."""
+def _repacked(bins: DataFrame, tasks: int, length: int, turn: int) -> DataFrame:
+    """Pack the bins again as items, dealt to so many tasks by their first piece, anew in every turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [r for batch in batches for r in batch.to_pylist()]
@@ -123,24 +123,25 @@ def _repacked(bins: DataFrame, tasks: int, length: int) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows[i:i + 4096], schema=arrow)
 
     arrow = arrow_schema(bins, BINS)
-    return bins.repartition(tasks, F.xxhash64(F.col("pieces")[0])).mapInArrow(run, BINS)
+    return bins.repartition(tasks, F.xxhash64(F.lit(turn), F.col("pieces")[0])).mapInArrow(run, BINS)
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = END, length: int = LENGTH, slack: int = SLACK) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     nearly = length - length // slack
-    bins = stage(packed_locally(docs, tokenizer, end, length), "packed")
-    done, open_bins = [bins.where(F.col("fill") >= nearly)], bins.where(F.col("fill") < nearly)
-    n = open_bins.count()
-    while n > 1:
+    bins, done = stage(packed_locally(docs, tokenizer, end, length), "packed"), []
+    for turn in count():
+        least = bins.where(F.col("fill") < nearly).agg(F.min("fill")).first()[0]
+        fits = (F.col("fill") < nearly) & (F.col("fill") + F.lit(length if least is None else least) <= length)
+        n = bins.where(fits).count()
+        if n < 2:
+            break
+        done.append(bins.where(~fits))
         tasks = ceil(n / ITEMS)
-        bins = stage(_repacked(open_bins, tasks, length), "packed")
-        done.append(bins.where(F.col("fill") >= nearly))
-        open_bins = bins.where(F.col("fill") < nearly)
-        before, n = n, open_bins.count()
-        if tasks == 1 or bins.count() > (1 - GAIN) * before:
+        bins = stage(_repacked(bins.where(fits), tasks, length, turn), "packed")
+        if tasks == 1:
             break
-    sequences = open_bins
+    sequences = bins
     for part in done:
         sequences = sequences.unionByName(part)
     # The bins are written tables, so a sequence keeps its number when a task runs again.

@@ -122,6 +122,17 @@ def test_tree_rounds(spark, docs, monkeypatch):
     assert max(fill) <= 2048 and sum(1 for f in fill if f < 1024) <= 3
 
 
+def test_rests_of_different_tasks_meet(spark, monkeypatch):
+    """A few short texts among many that leave them no room: a round that saves little is not the last."""
+    monkeypatch.setattr(packing, "ITEMS", 7)
+    rows = [(i, " ".join(["stone"] * (300 if i % 50 == 0 else 1900))) for i in range(300)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(64), WORD_FILE)
+    fill = [r["n"] for r in packed.groupBy("sequence_id").agg({"length": "sum"}).toDF("id", "n").collect()]
+    total = sum(fill)
+    assert max(fill) <= 2048 and sum(1 for f in fill if f <= 1024) <= 1
+    assert total == sum(len(t.split()) + 1 for _, t in rows) and len(fill) == 295
+
+
 def test_best_fit_is_best_fit():
     """Every item goes to the fullest bin with room, as a plain search says."""
     rng = np.random.default_rng(1)
