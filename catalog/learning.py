@@ -338,7 +338,7 @@ def registered(spark, sf):
 @query("m12_m15_predict_records")
 def predict_records(spark, sf):
     store, _ = classifier(spark, sf)
-    return workflows.predict_records(store, store.active(), testdata.newest_bookings(raw_jobs(spark, sf)))
+    return workflows.predict_records(store, store.active(), testdata.as_intake(raw_jobs(spark, sf)))
 
 
 @query("m16_batch_predict")

@@ -126,3 +126,18 @@ def test_feature_plan(spark):
     rare = features.fit_imputation(df.withColumn("kind", F.when(F.col("code") == "id7", "lone").otherwise(F.col("kind"))), rare)
     assert rare.rare["kind"] == ["lone"]
     assert features.FeaturePlan.from_json(plan.to_json()) == plan
+
+
+def test_every_job_is_predicted(spark, monkeypatch):
+    """The registered prediction takes each job of the table, not one of every client."""
+    from types import SimpleNamespace
+
+    from catalog import base, learning
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(learning, "classifier", lambda *_: (SimpleNamespace(active=lambda: None), None))
+    monkeypatch.setattr(learning.workflows, "predict_records", lambda store, model, rows: rows)
+    given = base.QUERIES["m12_m15_predict_records"](spark, sf)
+    jobs = {r["project_no"] for r in base.raw_jobs(spark, sf).select("project_no").collect()}
+    ids = [r["job_id"] for r in given.select("job_id").collect()]
+    assert len(ids) == len(jobs) and set(ids) == jobs
