@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import grid_codes, term_pipeline, warc
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -120,3 +122,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     return toxicity_scores(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+@query("op11_salvaged_archives", warc.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages"))
+
+
+@query("op12_term_pipeline", term_pipeline.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_pipeline.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_grid_codes", grid_codes.sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
