@@ -32,6 +32,7 @@ not read. A text is read in pieces, so a task holds the distinct terms of a bloc
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -68,41 +69,46 @@ def terms(text: bytes) -> Counter:
 
 
 class _Block:
-    """The documents of one block, inverted by term."""
+    """The documents of one block, inverted by term. A posting takes eight bytes until then."""
 
     def __init__(self) -> None:
         self.ids: list[int | None] = []
-        self.lengths: list[int] = []
-        self.postings: list[tuple[Counter, int]] = []
-        self.size = 0
+        self.lengths, self.sizes = array("Q"), array("I")
+        self.number, self.count = array("I"), array("I")
+        self.numbers: dict[bytes, int] = {}
 
     def add(self, doc_id: int | None, counts: Counter) -> None:
         self.ids.append(doc_id)
         self.lengths.append(counts.total())
-        self.postings.append(counts)
-        self.size += len(counts)
+        self.sizes.append(len(counts))
+        self.number.extend([self.numbers.setdefault(t, len(self.numbers)) for t in counts])
+        self.count.extend(counts.values())
 
-    def rows(self, block: int) -> dict[str, list]:
-        """Columns of the posting rows, and a first row with the ids of the documents. Places are
-        in ascending order of ids, nulls last."""
+    def rows(self, block: int, at_once: int = 20_000) -> Iterator[dict[str, list]]:
+        """Columns of the posting rows, some terms at a time, after a row with the ids of the
+        documents. Places are in ascending order of ids, nulls last."""
         order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i] or 0))
-        lengths = np.array([self.lengths[i] for i in order], np.uint32)
-        numbers: dict[bytes, int] = {}
-        number = [numbers.setdefault(t, len(numbers)) for i in order for t in self.postings[i]]
-        counts = np.fromiter((c for i in order for c in self.postings[i].values()), np.uint32, len(number))
-        places = np.repeat(np.arange(len(order), dtype=np.uint16), [len(self.postings[i]) for i in order])
-        by_term = np.argsort(np.array(number, np.int64), kind="stable")
-        counts, places = counts[by_term], places[by_term]
-        of_doc, sizes = lengths[places], np.bincount(number, minlength=len(numbers))
-        ends = np.cumsum(sizes).tolist()
-        starts = [0, *ends[:-1]]
-        cut = lambda a: [a[s:e].tobytes() for s, e in zip(starts, ends)]
-        m = len(numbers)
-        return {
-            "block": [block] * (m + 1), "term": [None, *numbers], "n": [len(order), *sizes.tolist()],
-            "places": [None, *cut(places)], "counts": [None, *cut(counts)], "lengths": [None, *cut(of_doc)],
-            "ids": [[self.ids[i] for i in order], *[None] * m], "total": [int(lengths.sum(dtype=np.int64)), *[None] * m],
+        place = np.empty(len(order), np.uint16)
+        place[order] = np.arange(len(order), dtype=np.uint16)
+        lengths = np.array(self.lengths, np.int64)
+        yield {
+            "block": [block], "term": [None], "n": [len(order)], "places": [None], "counts": [None], "lengths": [None],
+            "ids": [[self.ids[i] for i in order]], "total": [int(lengths.sum())],
         }
+        doc = np.repeat(np.arange(len(order), dtype=np.uint16), np.array(self.sizes))
+        number = np.array(self.number)
+        by_term = np.lexsort((place[doc], number))
+        doc, counts = doc[by_term], np.array(self.count, np.uint32)[by_term]
+        places, of_doc = place[doc], lengths[doc].astype(np.uint32)
+        ends = np.cumsum(np.bincount(number, minlength=len(self.numbers))).tolist()
+        starts, names = [0, *ends[:-1]], list(self.numbers)
+        for first in range(0, len(names), at_once):
+            some = list(zip(starts[first:first + at_once], ends[first:first + at_once]))
+            cut = lambda a: [a[s:e].tobytes() for s, e in some]
+            yield {
+                "block": [block] * len(some), "term": names[first:first + at_once], "n": [e - s for s, e in some],
+                "places": cut(places), "counts": cut(counts), "lengths": cut(of_doc), "ids": [None] * len(some), "total": [None] * len(some),
+            }
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -113,9 +119,8 @@ def build_index(docs: DataFrame) -> DataFrame:
         block, made = _Block(), 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            whole = pa.RecordBatch.from_pydict(block.rows((part << 32) + made), schema=arrow)
-            for start in range(0, whole.num_rows, 50_000):
-                yield whole.slice(start, 50_000)
+            for columns in block.rows((part << 32) + made):
+                yield pa.RecordBatch.from_pydict(columns, schema=arrow)
 
         for batch in batches:
             for part, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -123,7 +128,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 if not counts:
                     continue
                 block.add(doc_id, counts)
-                if len(block.ids) >= BLOCK or block.size >= POSTINGS:
+                if len(block.ids) >= BLOCK or len(block.number) >= POSTINGS:
                     yield from done()
                     block, made = _Block(), made + 1
         if block.ids:
@@ -224,7 +229,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, owners: int = OWNERS,
     whole = stage(build_index(docs), "term_index")
     blocks, index = whole.where(F.col("term").isNull()), whole.where(F.col("term").isNotNull())
     n, total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    owned = owned_terms(stage(asked, "item_terms"), index, n, owners)
+    # Written, so that Spark knows its size before it chooses how to join the index with it.
+    owned = stage(owned_terms(stage(asked, "item_terms"), index, n, owners), "owned_terms")
     # Written by owner, so that every visit reads its owner's postings alone.
     path = scratch_path(spark, "owned_postings")
     index.join(owned, "term").select("owner", "block", "bundle", "weight", "asked", "places", "counts", "lengths").write.partitionBy("owner").parquet(path)

@@ -68,8 +68,8 @@ def test_block_rows():
     block = term_pipeline._Block()
     for doc_id, text in [(9, b"b a b"), (None, b"a"), (3, b"b c")]:
         block.add(doc_id, term_pipeline.terms(text))
-    rows = block.rows(7)
-    assert rows["ids"][0] == [3, 9, None] and rows["total"][0] == 6 and rows["n"][0] == 3
-    found = {t: [np.frombuffer(rows[c][i], d).tolist() for c, d in (("places", "<u2"), ("counts", "<u4"), ("lengths", "<u4"))]
-             for i, t in enumerate(rows["term"]) if t}
+    head, *parts = block.rows(7, at_once=2)
+    assert head["ids"] == [[3, 9, None]] and head["total"] == [6] and head["n"] == [3] and len(parts) == 2
+    found = {t: [np.frombuffer(p[c][i], d).tolist() for c, d in (("places", "<u2"), ("counts", "<u4"), ("lengths", "<u4"))]
+             for p in parts for i, t in enumerate(p["term"])}
     assert found == {b"b": [[0, 1], [1, 2], [2, 3]], b"c": [[0], [1], [2]], b"a": [[1, 2], [1, 1], [3, 1]]}
