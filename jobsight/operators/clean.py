@@ -35,29 +35,32 @@ def tidy_text(df: DataFrame) -> DataFrame:
 
 
 def column_tests(df: DataFrame) -> DataFrame:
-    """One row per column: filled, date-like, numeric and boolean cell counts, from one pass."""
+    """One row per column: filled, date-like, numeric and boolean cell counts, from one pass.
+
+    Cells become rows of one text column first, so each test is compiled once, not once per column.
+    """
     cells = []
     for f in df.schema.fields:
-        c = F.col(f.name)
-        is_text = isinstance(f.dataType, T.StringType)
-        holds_date = dates.parse_datetime(c).isNotNull() if is_text else F.lit(dates.is_datetime(f.dataType)) & c.isNotNull()
-        holds_number = (
-            numbers.numeric_text(c).isNotNull() if is_text else F.lit(numbers.is_numeric(f.dataType)) & c.isNotNull()
-        )
-        boolean = F.lit(isinstance(f.dataType, T.BooleanType)) | numbers.boolean_text(c)
-        cells.append(
-            F.struct(
-                F.lit(f.name).alias("column"), F.lit(is_text).alias("is_text"), c.isNotNull().alias("filled"),
-                holds_date.alias("dated"), holds_number.alias("numeric"), (boolean & c.isNotNull()).alias("boolean"),
-            )
+        kind = (
+            "text" if isinstance(f.dataType, T.StringType) else "date" if dates.is_datetime(f.dataType)
+            else "boolean" if isinstance(f.dataType, T.BooleanType) else "number" if numbers.is_numeric(f.dataType) else "other"
         )
+        cells.append(F.struct(F.lit(f.name).alias("column"), F.lit(kind).alias("kind"), F.col(f.name).cast("string").alias("value")))
+    kind, value = F.col("kind"), F.col("value")
     return (
         df.select(F.inline(F.array(*cells)))
-        .groupBy("column", "is_text")
+        .groupBy("column", "kind")
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            *[F.count_if(c).alias(c) for c in ("filled", "dated", "numeric", "boolean")],
+            F.count("value").alias("filled"),
+            F.count_if(F.when(kind == "text", dates.parse_datetime(value).isNotNull()).otherwise((kind == "date") & value.isNotNull())).alias("dated"),
+            F.count_if(
+                F.when(kind == "text", numbers.numeric_text(value).isNotNull())
+                .otherwise(kind.isin("number", "boolean") & value.isNotNull())
+            ).alias("numeric"),
+            F.count_if(((kind == "boolean") | numbers.boolean_text(value)) & value.isNotNull()).alias("boolean"),
         )
+        .select("column", (kind == "text").alias("is_text"), "rows", "filled", "dated", "numeric", "boolean")
     )
 
 

@@ -70,19 +70,19 @@ def date_tests(df: DataFrame, columns: list[str]) -> DataFrame:
     for name in columns:
         dtype = df.schema[name].dataType
         named = any(w in name.lower() for w in fv.DATE_FEATURE_WORDS) and not numbers.is_numeric(dtype)
+        kind = "number" if numbers.is_numeric(dtype) else "date" if dates.is_datetime(dtype) else "text"
         cells.append(
             F.struct(
-                F.lit(name).alias("column"),
-                F.lit(named or dates.is_datetime(dtype)).alias("named"),
-                F.col(name).isNotNull().alias("filled"),
-                (F.lit(isinstance(dtype, T.StringType)) & F.col(name).cast("string").rlike(r"\d")).alias("digit"),
-                F.lit(False).alias("dated") if numbers.is_numeric(dtype)
-                else dates.datetime_of(df, name).isNotNull().alias("dated"),
+                F.lit(name).alias("column"), F.lit(kind).alias("kind"),
+                F.lit(named or kind == "date").alias("named"), F.col(name).cast("string").alias("value"),
             )
         )
+    # Cells become rows of one text column first, so the parse is compiled once, not once per column.
+    kind, value = F.col("kind"), F.col("value")
+    dated = F.when(kind == "text", dates.parse_datetime(value).isNotNull()).otherwise((kind == "date") & value.isNotNull())
     counts = df.select(F.inline(F.array(*cells))).groupBy("column", "named").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if("filled").alias("filled"), F.count_if("digit").alias("with_digit"),
-        F.count_if("dated").alias("dated"),
+        F.count(F.lit(1)).alias("rows"), F.count("value").alias("filled"),
+        F.count_if((kind == "text") & value.rlike(r"\d")).alias("with_digit"), F.count_if(dated).alias("dated"),
     )
     c = F.col
     looks = (c("filled") > 0) & (c("with_digit") >= 0.7 * c("filled")) & (c("dated") >= 0.7 * c("filled"))
@@ -91,13 +91,15 @@ def date_tests(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def expand_dates(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace each date column by year, month, day and weekday (Monday is 0)."""
-    kept = [F.col(c) for c in df.columns if c not in columns]
-    parts = []
-    for name in columns:
-        at = dates.datetime_of(df, name) if name in df.columns else F.lit(None).cast("timestamp_ntz")
-        for part, fn in zip(PARTS, (F.year, F.month, F.dayofmonth, F.weekday)):
-            parts.append(fn(at).cast("double").alias(f"{name}_{part}"))
-    return df.select(*kept, *parts)
+    kept = [c for c in df.columns if c not in columns]
+    at = {c: dates.datetime_of(df, c) if c in df.columns else F.lit(None).cast("timestamp_ntz") for c in columns}
+    # A step of its own, so that a cell is parsed once for its four parts.
+    parsed = df.select(*kept, *[ts.alias(f"{c}__at") for c, ts in at.items()])
+    parts = [
+        fn(F.col(f"{c}__at")).cast("double").alias(f"{c}_{part}")
+        for c in columns for part, fn in zip(PARTS, (F.year, F.month, F.dayofmonth, F.weekday))
+    ]
+    return parsed.select(*kept, *parts)
 
 
 def droppable(df: DataFrame, histogram: DataFrame) -> DataFrame:

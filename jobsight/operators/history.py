@@ -1,18 +1,56 @@
 """Job history per team and how much of it is similar to an intake job.
 
-An intake job is never paired with history rows. History is reduced to counts per
-team, team and job type, team and area, and all three; an intake job reads those by
-equi-joins, and the price band by ``band_edges``.
+History is reduced to additive facts: per team, job type, area and price the numbers of jobs and
+of events. Everything asked of it is a sum over facts, so facts of several tables, or of the
+batches of a stream, add up (``History``). An intake job is never paired with history rows: it
+reads counts per team, team and job type, team and area, and all three by equi-joins, and the
+price band by ``band_edges``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from jobsight.operators.ordered import band_edges, exact_quantiles
+from jobsight.session import stage
 
 SCOPE = ["level", "scope_type", "scope_area"]
 MEASURES = ["n", "completed", "cancelled"]
+# What is counted per fact, and the flag of a job that it counts.
+COUNTS = {
+    "n": None, "done": "is_completed", "cancelled": "is_cancelled", "completed": "says_completed",
+    "hse_jobs": "hse_event", "damage_jobs": "damage_event", "hse_category": "hse_category", "hse_dated": "hse_dated",
+    "riddor": "riddor", "c_damagestatus": "c_damagestatus", "c_damagecategory": "c_damagecategory",
+    "c_damagedescription": "c_damagedescription",
+}
+FACT_KEY = ["team_key", "job_type_key", "area", "budget_revenue"]
+
+
+def _counted() -> list[Column]:
+    return [(F.count(F.lit(1)) if flag is None else F.count_if(flag)).alias(name) for name, flag in COUNTS.items()]
+
+
+@dataclass(frozen=True)
+class History:
+    """Additive facts of a history: per team, type, area and price; of all jobs (rows that add
+    up); and how often a team is named in which spelling."""
+
+    facts: DataFrame
+    totals: DataFrame
+    names: DataFrame
+
+    @staticmethod
+    def of(jobs: "DataFrame | History") -> "History":
+        """The history of a canonical jobs table; a history stays as it is."""
+        if isinstance(jobs, History):
+            return jobs
+        return History(team_facts(jobs), jobs.agg(*_counted()), named_teams(jobs))
+
+    def staged(self) -> "History":
+        """The same with its facts written once, for operators that read them several times."""
+        return History(stage(self.facts, "team_facts"), self.totals, self.names)
 
 
 def team_history(jobs: DataFrame) -> DataFrame:
@@ -20,35 +58,45 @@ def team_history(jobs: DataFrame) -> DataFrame:
     return jobs.select("*", F.explode("team_keys").alias("team_key"))
 
 
-def team_names(jobs: DataFrame) -> DataFrame:
-    """Per team key: its most frequent spelling and how often the team is named.
+def team_facts(jobs: DataFrame) -> DataFrame:
+    """Per team, job type, area and price the counts of ``COUNTS``."""
+    return team_history(jobs).groupBy(*FACT_KEY).agg(*_counted())
 
-    A name repeated inside one cell counts twice in the frequency, once in the statistics.
+
+def named_teams(jobs: DataFrame) -> DataFrame:
+    """(team_key, name, times): how often a team is named in which spelling.
+
+    A name repeated inside one cell counts twice here, once in the facts.
     """
-    spellings = (
-        jobs.select(F.explode("teams").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("times"))
-    )
-    return spellings.groupBy(F.lower("name").alias("team_key")).agg(
+    spellings = jobs.select(F.explode("teams").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("times"))
+    return spellings.select(F.lower("name").alias("team_key"), "name", "times")
+
+
+def team_names(jobs: DataFrame | History) -> DataFrame:
+    """Per team key: its most frequent spelling and how often the team is named."""
+    summed = History.of(jobs).names.groupBy("team_key", "name").agg(F.sum("times").alias("times"))
+    return summed.groupBy("team_key").agg(
         F.min_by("name", F.struct(-F.col("times"), F.col("name"))).alias("team"),
         F.sum("times").alias("frequency"),
     )
 
 
-def team_statistics(jobs: DataFrame) -> DataFrame:
+def team_statistics(jobs: DataFrame | History) -> DataFrame:
     """One row per team: job counts, both event definitions, mean and exact median price."""
-    history = team_history(jobs)
-    counts = history.groupBy("team_key").agg(
-        F.count(F.lit(1)).alias("total_jobs"),
-        F.count_if("is_completed").alias("completed_jobs"),
-        F.count_if("is_cancelled").alias("cancelled_jobs"),
-        F.count_if("says_completed").alias("says_completed_jobs"),
-        F.count_if("hse_event").alias("hse_jobs"),
-        F.count_if("damage_event").alias("damage_jobs"),
+    facts = History.of(jobs).facts
+    price, priced = F.col("budget_revenue"), F.col("budget_revenue").isNotNull()
+    counts = facts.groupBy("team_key").agg(
+        F.sum("n").alias("total_jobs"),
+        F.sum("done").alias("completed_jobs"),
+        F.sum("cancelled").alias("cancelled_jobs"),
+        F.sum("completed").alias("says_completed_jobs"),
+        F.sum("hse_jobs").alias("hse_jobs"),
+        F.sum("damage_jobs").alias("damage_jobs"),
         *signal_counts(),
-        F.sum(F.col("budget_revenue").try_cast("decimal(28,6)")).alias("price_total"),
-        F.count("budget_revenue").alias("priced_jobs"),
+        F.sum(price.try_cast("decimal(28,6)") * F.col("n").cast("decimal(10,0)")).alias("price_total"),
+        F.coalesce(F.sum(F.when(priced, F.col("n"))), F.lit(0)).alias("priced_jobs"),
     )
-    medians = exact_quantiles(history, ["team_key"], "budget_revenue", {"median_price": 0.5})
+    medians = exact_quantiles(facts, ["team_key"], "budget_revenue", {"median_price": 0.5}, weight="n")
     return counts.join(medians, "team_key", "left")
 
 
@@ -57,18 +105,15 @@ def signal_counts() -> list[Column]:
 
     This differs on purpose from the per-row OR of ``hse_event`` and ``damage_event`` (A13).
     """
+    total = lambda c: F.sum(c)
     return [
-        (
-            F.greatest(F.count_if("hse_category"), F.count_if("hse_dated")) + F.count_if("riddor")
-        ).alias("hse_signals"),
-        F.greatest(
-            F.count_if("c_damagestatus"), F.count_if("c_damagecategory"), F.count_if("c_damagedescription")
-        ).alias("damage_signals"),
+        (F.greatest(total("hse_category"), total("hse_dated")) + total("riddor")).alias("hse_signals"),
+        F.greatest(total("c_damagestatus"), total("c_damagecategory"), total("c_damagedescription")).alias("damage_signals"),
     ]
 
 
-def scoped_history(jobs: DataFrame) -> DataFrame:
-    """History once per level it can be asked at: team, type, area, both."""
+def scoped_history(jobs: DataFrame | History) -> DataFrame:
+    """Facts once per level they can be asked at: team, type, area, both."""
     nothing = F.lit("")
 
     def scope(level: str, job_type: Column, area: Column) -> Column:
@@ -84,33 +129,21 @@ def scoped_history(jobs: DataFrame) -> DataFrame:
         scope("both", job_type, area),
     )
     return (
-        team_history(jobs)
-        .select(
-            "team_key",
-            "budget_revenue",
-            F.lit(1).cast("long").alias("n"),
-            F.col("says_completed").cast("long").alias("completed"),
-            F.col("is_cancelled").cast("long").alias("cancelled"),
-            F.inline(levels),
-        )
+        History.of(jobs).facts
+        .select("team_key", "budget_revenue", *MEASURES, F.inline(levels))
         .where(F.col("scope_type").isNotNull() & F.col("scope_area").isNotNull())
     )
 
 
-def match_counts(jobs: DataFrame, by: list[str]) -> DataFrame:
+def match_counts(jobs: DataFrame | History, by: list[str]) -> DataFrame:
     """Rows, completed and cancelled jobs of every team per value of ``by``."""
     return (
-        team_history(jobs).where(" and ".join(f"{c} is not null" for c in by))
-        .groupBy("team_key", *by)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if("says_completed").alias("completed"),
-            F.count_if("is_cancelled").alias("cancelled"),
-        )
+        History.of(jobs).facts.where(" and ".join(f"{c} is not null" for c in by))
+        .groupBy("team_key", *by).agg(*[F.sum(m).alias(m) for m in MEASURES])
     )
 
 
-def with_match_counts(asked: DataFrame, jobs: DataFrame) -> DataFrame:
+def with_match_counts(asked: DataFrame, jobs: DataFrame | History) -> DataFrame:
     """Add to rows (team_key, job_type_key, area) the counts of the team's history that match
     by type (``type_*``), by area (``area_*``) and by both (``both_*``)."""
     result = asked
@@ -137,7 +170,7 @@ def scope_columns(use_type: Column, use_area: Column) -> list[Column]:
 
 
 def price_band_edges(
-    jobs: DataFrame, probes: DataFrame, probe_id: list[str], measures: list[str] = MEASURES
+    jobs: DataFrame | History, probes: DataFrame, probe_id: list[str], measures: list[str] = MEASURES
 ) -> DataFrame:
     """Rows per probe that add up to its history counts with a price within a quarter of
     the asked price.
@@ -152,7 +185,7 @@ def price_band_edges(
     )
 
 
-def price_band_counts(jobs: DataFrame, probes: DataFrame, probe_id: list[str]) -> DataFrame:
+def price_band_counts(jobs: DataFrame | History, probes: DataFrame, probe_id: list[str]) -> DataFrame:
     """One row per probe with its counts."""
     edges = price_band_edges(jobs, probes, probe_id)
     return edges.groupBy(*probe_id).agg(*[F.sum(m).alias(m) for m in MEASURES])

@@ -66,18 +66,19 @@ def running_totals(df: DataFrame, keys: list[str], value: str, measures: list[st
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], weight: str | None = None
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
     ``quantiles`` maps output names to probabilities. Nulls do not count; a group
     without values gives no row. Only the bins that hold a wanted rank are sorted.
+    A row counts as often as its whole-number ``weight`` says.
     """
     df, keys = _keyed(df, keys)
     points = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
         .withColumn("_bin", value_bin(F.col("_value")))
     )
     in_group = W.partitionBy(*keys)

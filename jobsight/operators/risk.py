@@ -9,7 +9,9 @@ from jobsight.functions.numbers import gross_margin, gross_margin_pct, pct, risk
 from jobsight.functions.text import contains_any
 from jobsight.session import stage
 from jobsight.operators.history import (
+    COUNTS,
     MEASURES,
+    History,
     price_band_counts,
     scope_columns,
     signal_counts,
@@ -28,9 +30,9 @@ SCORES = {
 }
 
 
-def intake_errors(intake: DataFrame, jobs: DataFrame) -> DataFrame:
+def intake_errors(intake: DataFrame, jobs: DataFrame | History) -> DataFrame:
     """Intake rows that cannot be scored, with the reason; all others are scored."""
-    known = jobs.select(F.explode("team_keys").alias("team_key")).distinct()
+    known = History.of(jobs).names.select("team_key").distinct()
     unnamed = intake.where(F.col("team_key").isNull()).select(
         "job_id",
         F.lit("A scaffold partner company is required for scaffolder-focused predictions.").alias("error"),
@@ -46,23 +48,19 @@ def intake_errors(intake: DataFrame, jobs: DataFrame) -> DataFrame:
     return unnamed.unionByName(unknown)
 
 
-def global_totals(jobs: DataFrame) -> DataFrame:
+def global_totals(jobs: DataFrame | History) -> DataFrame:
     """One row: the whole-table counts every blended rate mixes in."""
-    return jobs.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if("says_completed").alias("completed"),
-        F.count_if("is_cancelled").alias("cancelled"),
-        *signal_counts(),
-    )
+    totals = History.of(jobs).totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS])
+    return totals.groupBy("n", "completed", "cancelled").agg(*signal_counts())
 
 
-def with_similar_history(intake: DataFrame, jobs: DataFrame) -> DataFrame:
+def with_similar_history(intake: DataFrame, jobs: DataFrame | History) -> DataFrame:
     """The selected team's statistics and its similar jobs for each intake job.
 
     The similar set narrows step by step: job type, then area, then price band, and each
     step applies only if it leaves at least ten rows of the current set.
     """
-    gate = fv.RISK_GATE_ROWS
+    gate, jobs = fv.RISK_GATE_ROWS, History.of(jobs).staged()
     matched = with_match_counts(intake.join(team_statistics(jobs), "team_key"), jobs)
     by_type = F.col("type_n") >= gate
     by_area = F.when(by_type, F.col("both_n")).otherwise(F.col("area_n")) >= gate
@@ -90,7 +88,7 @@ def with_similar_history(intake: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
-def blended_rates(intake: DataFrame, jobs: DataFrame) -> DataFrame:
+def blended_rates(intake: DataFrame, jobs: DataFrame | History) -> DataFrame:
     """Rates over similar, team and whole-table rows together; events skip the similar set."""
     everything = global_totals(jobs).agg(
         F.first(F.struct("n", "completed", "cancelled", "hse_signals", "damage_signals"))
@@ -138,7 +136,7 @@ def _margin_risk() -> Column:
     return F.coalesce(against_median, F.lit(0.0)) + F.coalesce(against_cost, F.lit(0.0))
 
 
-def risk_scores(intake: DataFrame, jobs: DataFrame) -> DataFrame:
+def risk_scores(intake: DataFrame, jobs: DataFrame | History) -> DataFrame:
     """R1, wide: one row per intake job with its seven scores and the evidence behind them."""
     lead = lead_penalty(F.col("lead_days"))
     job_type = F.coalesce("job_type_key", F.lit(""))
