@@ -9,6 +9,8 @@ from datetime import datetime, timezone
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from jobsight.session import path_exists
+
 EXPERIMENTS = (
     "id string, created_at timestamp, dataset_path string, target_column string, task_type string, "
     "total_rows long, total_columns long, best_model_name string, metric_name string, metric_value double, "
@@ -62,9 +64,7 @@ class Registry:
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        hadoop_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        files = hadoop_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(hadoop_path):
+        if not path_exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
@@ -99,9 +99,7 @@ class Registry:
     def load(self, experiment_id: str) -> tuple[PipelineModel, dict]:
         """M12."""
         record = self.get(experiment_id)
-        hadoop_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(record["model_path"])
-        files = hadoop_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(hadoop_path):
+        if not path_exists(self.spark, record["model_path"]):
             raise FileNotFoundError(f"Model file missing: {record['model_path']}")
         return PipelineModel.load(record["model_path"]), record
 

@@ -6,6 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from jobsight.session import path_exists
+from jobsight.sources import records
+
 # Delimiters in the order that decides ties.
 DELIMITERS = ["\t", ",", ";", "|"]
 TEXT_FORMATS = [".csv", ".txt", ".tsv"]
@@ -19,10 +22,7 @@ def _suffix(path: str) -> str:
 
 def _check_path(spark: SparkSession, path: str) -> None:
     """The path must exist and end in a known extension."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.globStatus(hadoop_path) is None or not list(files.globStatus(hadoop_path)):
+    if not path_exists(spark, path):
         raise FileNotFoundError(f"Dataset not found: {path}")
     known = TEXT_FORMATS + list(TABLE_FORMATS)
     if _suffix(path) not in known:
@@ -39,29 +39,29 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a header line, all columns as text.
 
-    Only the header line is looked at to find the delimiter. UTF-16 files and cells with
-    line breaks need ``multi_line``, which makes each file one task; otherwise files are
-    split between tasks. By default the lines decide: a line with an odd number of quotes
-    is part of such a cell.
+    Only the header line is looked at to find the delimiter. Files are split between tasks, also
+    where cells hold line breaks (``records``); by default the lines decide whether any does.
+    UTF-16 files, and all files with ``multi_line``, are read whole, one task each.
     """
-    whole = encoding.upper().startswith("UTF-16")
-    if multi_line is None and not whole:
-        multi_line = has_open_quotes(spark, path)
-    whole = whole or bool(multi_line)
+    whole = encoding.upper().startswith("UTF-16") or bool(multi_line)
     first = spark.read.option("encoding", encoding).option("multiLine", whole).option("sep", "\u0001").option(
         "maxCharsPerColumn", -1
     ).csv(path).limit(1).head()
-    header = first[0] if first and first[0] is not None else ""
-    return (
-        spark.read.option("header", True).option("sep", guess_delimiter(header)).option("encoding", encoding)
-        .option("multiLine", whole).option("escape", '"').option("inferSchema", False).csv(path)
+    sep = guess_delimiter(first[0] if first and first[0] is not None else "")
+    reader = (
+        spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+        .option("escape", '"').option("inferSchema", False)
     )
+    if not whole and multi_line is None and has_open_quotes(spark, path, sep, encoding):
+        # Only the first record is read for the names.
+        columns = reader.option("multiLine", True).csv(path).columns
+        return records.read_records(spark, path, columns, sep, encoding)
+    return reader.option("multiLine", whole).csv(path)
 
 
-def has_open_quotes(spark: SparkSession, path: str) -> bool:
-    """Does any line hold an odd number of quotes? Read without splitting cells, up to the first such line."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+def has_open_quotes(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> bool:
+    """Does a line end inside a quoted cell? Read without splitting cells, up to the first such line."""
+    return records.opens_cells(records.text_lines(spark, path, sep, encoding))
 
 
 def load_dataset(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool | None = None) -> DataFrame:
