@@ -57,11 +57,6 @@ def all_intake(spark: SparkSession, sf: str) -> DataFrame:
     return staged(spark, sf, "all_intake", lambda: ingest.canonical_intake(testdata.as_intake(raw_jobs(spark, sf))))
 
 
-def bookings(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest job of every client as an intake row."""
-    return staged(spark, sf, "bookings", lambda: ingest.canonical_intake(testdata.newest_bookings(raw_jobs(spark, sf))))
-
-
 def rounded(expression: str, digits: int) -> str:
     """Round half up on the shortest decimal form of a double, as Spark's ``round`` does."""
     return f"CAST(round(CAST(CAST({expression} AS VARCHAR) AS DECIMAL(38,14)), {digits}) AS DOUBLE)"
@@ -191,7 +186,3 @@ _INTAKE = """
 """
 
 ALL_INTAKE = JOBS + f""", intake AS ({_INTAKE} FROM raw)"""
-
-BOOKINGS = JOBS + f""", intake AS ({_INTAKE} FROM (
-    SELECT *, row_number() OVER (PARTITION BY contact_name ORDER BY date DESC, project_no DESC) AS newest
-    FROM raw WHERE related_contacts IS NOT NULL) WHERE newest = 1)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import BOOKINGS, RAW, jobs, query, raw_jobs, table
+from catalog.base import ALL_INTAKE, ORACLES, RAW, jobs, query, raw_jobs, table
 from catalog.risk import _SIMILAR
 from jobsight.functions import status
 from jobsight.operators import features, metrics, profile, registry, score, train
@@ -13,6 +13,7 @@ from jobsight.plans import workflows
 from jobsight.session import scratch_path
 from jobsight.sources import testdata
 from jobsight.streaming import intake as streaming
+from jobsight.streaming.state import HistoryState
 
 _GROUP = """CASE WHEN regexp_matches(lower(status), 'cancel|postponed') THEN 'cancelled'
               WHEN regexp_matches(lower(status), 'down|completed|complete|closed|handed over') THEN 'completed'
@@ -71,7 +72,7 @@ def date_parts(spark, sf):
 )
 def dropped_columns(spark, sf):
     raw = raw_jobs(spark, sf)
-    return features.droppable(raw, profile.value_histogram(raw))
+    return features.droppable(raw)
 
 
 @query(
@@ -460,19 +461,31 @@ def overview(spark, sf):
 
 # --- streaming -----------------------------------------------------------------------------------
 
+def stream_output(spark, sf):
+    """All jobs arrive as files and become history in four batches; then all jobs arrive as intake
+    rows and are scored in three batches, which read the kept state alone."""
+    def build():
+        history, asked = scratch_path(spark, "arriving-jobs"), scratch_path(spark, "arriving-intake")
+        raw_jobs(spark, sf).repartition(4).write.parquet(history)
+        testdata.as_intake(raw_jobs(spark, sf)).repartition(3).write.parquet(asked)
+        arriving = lambda path: streaming.read_intake_files(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+        state, output = HistoryState(spark, scratch_path(spark, "history-state")), scratch_path(spark, "stream-output")
+        streaming.keep_history(arriving(history), state, scratch_path(spark, "history-checkpoint"), compact_after=3).awaitTermination()
+        streaming.score_stream(arriving(asked), state, output, scratch_path(spark, "stream-checkpoint")).awaitTermination()
+        return output
+
+    return once(spark, sf, "stream", build)
+
+
 @query(
     "st1_stream_scores",
-    BOOKINGS + _SIMILAR + """ SELECT job_id, name, score_pct, level, detail, array_to_string(texts, ' ') AS recommendations
+    ALL_INTAKE + _SIMILAR + """ SELECT job_id, name, score_pct, level, detail, array_to_string(texts, ' ') AS recommendations
       FROM signals JOIN advised USING (job_id)""",
 )
 def stream_scores(spark, sf):
-    """The newest bookings arrive as files and are scored in two micro-batches."""
-    arriving = scratch_path(spark, "arriving")
-    testdata.newest_bookings(raw_jobs(spark, sf)).repartition(2).write.parquet(arriving)
-    output = scratch_path(spark, "stream-output")
-    incoming = streaming.read_intake_files(spark, arriving, spark.read.parquet(arriving).schema, files_per_batch=1)
-    run = streaming.score_stream(
-        incoming, lambda: jobs(spark, sf), output, scratch_path(spark, "stream-checkpoint")
-    )
-    run.awaitTermination()
-    return spark.read.parquet(f"{output}/scores").drop("batch")
+    return spark.read.parquet(f"{stream_output(spark, sf)}/scores").drop("batch")
+
+
+@query("st1_stream_errors", ORACLES["j4_intake_errors"])
+def stream_errors(spark, sf):
+    return spark.read.parquet(f"{stream_output(spark, sf)}/errors").drop("batch")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.base import RAW, query, raw_jobs, staged
 from jobsight.operators import clean, prepare
+from jobsight.plans import workflows
+from jobsight.session import scratch_path
 
 # --- prepare ---------------------------------------------------------------------------------
 
@@ -186,8 +188,8 @@ def output_order(spark, sf):
       12000 AS target_rows, 'project_manager' AS dropped_columns, 21 AS kept_columns""",
 )
 def manifest(spark, sf):
-    source, picked = raw_jobs(spark, sf), chosen(spark, sf)
-    return prepare.manifest(source, picked, safe(spark, sf)).withColumns({
+    written = workflows.write_safe_dataset(raw_jobs(spark, sf), scratch_path(spark, "safe") + ".parquet")
+    return written.withColumns({
         "dropped_columns": F.array_join("dropped_columns", ","), "kept_columns": F.size("kept_columns"),
     })
 
@@ -280,7 +282,4 @@ def drop_empty_columns(spark, sf):
       UNION ALL SELECT 'drop_duplicates', NULL, rows_before, rows_after FROM counts""",
 )
 def cleaning_log(spark, sf):
-    tidy = clean.tidy_text(clean.snake_columns(messy(spark, sf)))
-    plan = clean.plan_cleaning(tidy)
-    typed = clean.apply_cleaning(tidy, plan)
-    return clean.cleaning_log(typed, typed.dropDuplicates(), plan)
+    return workflows.write_cleaned(messy(spark, sf), scratch_path(spark, "cleaned") + ".parquet")

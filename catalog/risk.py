@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import ALL_INTAKE, all_intake, bookings, jobs, query, raw_jobs, rounded
+from catalog.base import ALL_INTAKE, all_intake, jobs, query, raw_jobs, rounded, staged
 from catalog.teams import RANKED, ranked
 from jobsight import fixed_values as fv
 from jobsight.functions import numbers
@@ -275,11 +275,12 @@ def intake_errors(spark, sf):
 
 
 def assessment_log(spark, sf):
-    table = raw_jobs(spark, sf)
-    quoted = risk.risk_scores(bookings(spark, sf), jobs(spark, sf))
-    summary = teams.leaderboard_summary(ranked(spark, sf))
-    start = table.select(F.col("project_no").alias("job_id"), F.col("date").alias("start_on"))
-    return decisions.assessments(quoted.join(start, "job_id"), summary, at=F.col("start_on"))
+    def build():
+        start = raw_jobs(spark, sf).select(F.col("project_no").alias("job_id"), F.col("date").alias("start_on"))
+        summary = teams.leaderboard_summary(ranked(spark, sf))
+        return decisions.assessments(scored(spark, sf).join(start, "job_id"), summary, at=F.col("start_on"))
+
+    return staged(spark, sf, "assessments", build)
 
 
 @query("r7_assessments", ASSESSED + " SELECT * FROM log")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from jobsight import fixed_values as fv
 from jobsight.functions import dates, numbers, text
@@ -123,19 +123,36 @@ def clean_table(raw: DataFrame) -> tuple[DataFrame, CleaningPlan]:
     return apply_cleaning(tidy, plan).dropDuplicates(), plan
 
 
+def counted_while_written(typed: DataFrame) -> tuple[DataFrame, Observation]:
+    """The typed table without duplicate rows, and what its write will have seen: ``rows_before``
+    and ``rows_after``. Both are counted behind the shuffle, in the tasks that write, so a task
+    that runs again counts once."""
+    seen = Observation("cleaning")
+    groups = typed.groupBy(*[F.col(f"`{c}`") for c in typed.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    return groups.observe(seen, F.sum("_copies").alias("rows_before"), F.count(F.lit(1)).alias("rows_after")).drop("_copies"), seen
+
+
 def cleaning_log(typed: DataFrame, cleaned: DataFrame, plan: CleaningPlan) -> DataFrame:
     """One row per dropped or converted column and one for the duplicate rows.
 
     ``typed`` is the table before, ``cleaned`` the table after the duplicates went.
     """
+    after = cleaned.agg(F.count(F.lit(1)).alias("n"))
+    return _log(plan, typed.agg(F.count(F.lit(1)).alias("rows_before")).select("rows_before", after.scalar().alias("rows_after")))
+
+
+def written_log(spark: SparkSession, plan: CleaningPlan, seen: Observation) -> DataFrame:
+    """S7 from the counts of a finished write."""
+    counts = [(seen.get["rows_before"] or 0, seen.get["rows_after"])]
+    return _log(plan, spark.createDataFrame(counts, "rows_before long, rows_after long"))
+
+
+def _log(plan: CleaningPlan, counts: DataFrame) -> DataFrame:
     steps = [("drop_empty", c) for c in plan.empty] + [("to_date", c) for c in plan.to_date]
     steps += [("to_number", c) for c in plan.to_number] + [("to_boolean", c) for c in plan.to_boolean]
-    log = typed.sparkSession.createDataFrame(steps, "step string, column string").select(
+    log = counts.sparkSession.createDataFrame(steps, "step string, column string").select(
         "step", "column", F.lit(None).cast("long").alias("rows_before"), F.lit(None).cast("long").alias("rows_after")
     )
-    after = cleaned.agg(F.count(F.lit(1)).alias("n"))
-    counted = typed.agg(F.count(F.lit(1)).alias("rows_before")).select(
-        F.lit("drop_duplicates").alias("step"), F.lit(None).cast("string").alias("column"), "rows_before",
-        after.scalar().alias("rows_after"),
-    )
-    return log.unionByName(counted)
+    return log.unionByName(counts.select(
+        F.lit("drop_duplicates").alias("step"), F.lit(None).cast("string").alias("column"), "rows_before", "rows_after"
+    ))

@@ -74,12 +74,16 @@ def baseline_signature(df: DataFrame, max_categories: int = fv.SIGNATURE_CATEGOR
     return numbers.unionByName(categories)
 
 
+def stored(signature: DataFrame) -> DataFrame:
+    """A signature as a table of its rows, so that what it was computed from is read once. It has
+    one row per column with at most 25 shares, whatever the size of the data."""
+    return signature.sparkSession.createDataFrame(signature.select(*[c.split()[0] for c in SIGNATURE.split(", ")]).collect(), SIGNATURE)
+
+
 def share_differences(signature: DataFrame, current: DataFrame) -> DataFrame:
     """Baseline and current shares side by side for the union of their categories."""
-    names = [
-        r.feature for r in signature.where("type = 'categorical'").select("feature").collect()
-        if r.feature in current.columns
-    ]
+    signature = stored(signature)
+    names = [r.feature for r in signature.where("type = 'categorical'").collect() if r.feature in current.columns]
     before = signature.where(F.col("feature").isin(names)).select(
         "feature", F.explode("top_distribution").alias("value", "baseline_share")
     )
@@ -92,8 +96,9 @@ def drift_by_feature(signature: DataFrame, current: DataFrame, threshold: float
     Categorical: total variation between the top shares. A feature the current data lacks
     scores 1. Text in a numeric feature is parsed, unreadable text is null.
 
-    The feature names of the signature, one row per column, are read at plan time.
+    The signature, one row per column, is computed once, when the plan is made.
     """
+    signature = stored(signature)
     kinds = {r.feature: r.type for r in signature.select("feature", "type").collect()}
     present = [f for f in kinds if f in current.columns]
     numeric = [f for f in present if kinds[f] == "numeric"]

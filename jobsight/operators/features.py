@@ -22,6 +22,8 @@ from jobsight.operators.profile import column_counts, numeric_cells, value_histo
 
 PARTS = ["year", "month", "day", "weekday"]
 RARE = "__rare__"
+#: Hashes of a distinct-value sketch, as a power of two: more than the limit of 5000, so that it is exact there.
+SKETCH = 13
 
 
 @dataclass
@@ -102,16 +104,48 @@ def expand_dates(df: DataFrame, columns: list[str]) -> DataFrame:
     return parsed.select(*kept, *parts)
 
 
-def droppable(df: DataFrame, histogram: DataFrame) -> DataFrame:
-    """P10: columns at least 98 percent empty, and non-numeric columns with 5000 or more values."""
-    texts = [f.name for f in df.schema.fields if not numbers.is_numeric(f.dataType)]
-    sparse = F.col("rows") - F.col("non_null_rows") >= fv.SPARSE_SHARE * F.col("rows")
-    wide = F.col("column").isin(texts) & (F.col("unique_count") >= fv.HIGH_CARDINALITY)
-    return column_counts(histogram).select(
-        "column", F.when(sparse, "sparse").when(wide, "high_cardinality").alias("drop_reason")
+def distinct_bounds(df: DataFrame, columns: list[str], sketch: int = SKETCH) -> DataFrame:
+    """Per column its rows, filled rows and bounds of its number of distinct values; numeric
+    columns are not counted.
+
+    One shuffle of mergeable sketches. A sketch keeps up to 2^``sketch`` hashes: below that the
+    count is exact, above it the bounds are five standard errors wide.
+    """
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).isNotNull().alias("filled"),
+                 (F.lit(None) if numbers.is_numeric(df.schema[c].dataType) else F.concat(F.lit("="), F.col(c).cast("string"))).cast("string").alias("value"))
+        for c in columns
+    ])
+    size, estimate = 2.0**sketch, F.col("estimate")
+    width = F.when(estimate < size, 0.0).otherwise(5 / size**0.5)
+    return (
+        df.select(F.inline(cells)).groupBy("column")
+        .agg(F.count(F.lit(1)).alias("rows"), F.count_if("filled").alias("non_null_rows"),
+             F.theta_sketch_estimate(F.theta_sketch_agg("value", sketch)).alias("estimate"))
+        .select("column", "rows", "non_null_rows", F.floor(estimate * (1 - width)).alias("at_least"), F.ceil(estimate * (1 + width)).alias("at_most"))
     )
 
 
+def droppable(df: DataFrame, columns: list[str] | None = None, limit: int = fv.HIGH_CARDINALITY, sketch: int = SKETCH) -> DataFrame:
+    """P10: columns at least 98 percent empty, and non-numeric columns with ``limit`` or more values.
+
+    Only columns whose bounds enclose the limit are counted exactly. The result is one row per
+    column, known when the function returns.
+    """
+    names = list(dict.fromkeys(columns or df.columns))
+    found = distinct_bounds(df, names, sketch).collect() if names else []
+    near = [r["column"] for r in found if r["at_least"] < limit <= r["at_most"]]
+    exact = {}
+    if near:
+        exact = {r["column"]: r["unique_count"] for r in column_counts(value_histogram(df, near)).collect()}
+    rows = []
+    for r in found:
+        sparse = r["rows"] - r["non_null_rows"] >= fv.SPARSE_SHARE * r["rows"]
+        wide = exact.get(r["column"], r["at_least"]) >= limit
+        rows.append((r["column"], "sparse" if sparse else "high_cardinality" if wide else None))
+    return df.sparkSession.createDataFrame(rows, "column string, drop_reason string")
+
+
 def category_plan(histogram: DataFrame) -> DataFrame:
     """M3, M4: per (column, value) its count, whether it is the mode (ties by value) and whether
     it holds under one percent of the rows once nulls take the mode. No column is ever sorted."""
@@ -138,11 +172,7 @@ def plan_features(df: DataFrame, target: str) -> FeaturePlan:
     plan.date_columns = [c for c in columns if c in is_date]
     expanded = expand_dates(inputs, plan.date_columns)
     others = [c for c in expanded.columns if c not in plan.expanded]
-    histogram = value_histogram(expanded, others) if others else None
-    dropped = (
-        {r.column for r in droppable(expanded, histogram).where("drop_reason is not null").collect()}
-        if others else set()
-    )
+    dropped = {r.column for r in droppable(expanded, others).where("drop_reason is not null").collect()} if others else set()
     kept = [f for f in expanded.schema.fields if f.name not in dropped]
     plan.dropped = [c for c in expanded.columns if c in dropped]
     plan.numeric = [f.name for f in kept if numbers.is_numeric(f.dataType)]

@@ -238,17 +238,42 @@ def flag_smallest(
 ) -> DataFrame:
     """Mark exactly the ``quota`` rows of each group with the smallest md5 text in ``order``.
 
-    The first four hex digits spread a group evenly over 65536 buckets; whole buckets
-    are decided by their totals and only rows of one bucket are sorted together.
-    ``quota`` is a column that is constant within a group.
+    ``quota`` is a column that is constant within a group. See ``flag_by_threshold``.
     """
     df, keys = _keyed(df, keys)
-    bucketed = df.withColumn("_bin", F.conv(F.substring(order, 1, 4), 16, 10).cast("long"))
-    starts = _bin_starts(bucketed.withColumn("_one", F.lit(1)), keys, ["_one"])
-    inside = W.partitionBy(*keys, "_bin").orderBy(order)
-    return (
-        bucketed.withColumn("_place", F.row_number().over(inside))
-        .join(starts, [*keys, "_bin"])
-        .withColumn(flag, F.col("_start__one") + F.col("_place") <= F.col(quota))
-        .drop("_bin", "_place", "_start__one", _ALL)
+    quotas = df.groupBy(*keys).agg(F.max(quota).alias("_wanted"))
+    return flag_by_threshold(df, keys, order, quotas, flag).drop(_ALL)
+
+
+def flag_by_threshold(df: DataFrame, keys: list[str], order: str, quotas: DataFrame, flag: str) -> DataFrame:
+    """As ``flag_smallest``, with the quotas in a table (keys, ``_wanted``).
+
+    The first four hex digits spread a group evenly over 65536 buckets; bucket totals say in which
+    one the last wanted row lies, and only the texts of that bucket are sorted, to find the last
+    wanted text. Then a row is marked by comparing its text with that of its group, so whole rows
+    are not shuffled; only rows that share the last text while not all of them are wanted are
+    numbered. The limits, one row per group, are sent to all tasks: pass few groups, such as the
+    classes of a target.
+    """
+    slim = df.select(*keys, order, F.conv(F.substring(order, 1, 4), 16, 10).cast("long").alias("_bin"))
+    totals = slim.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_one"))
+    upto = F.sum("_one").over(W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
+    cut = (
+        totals.withColumn("_upto", upto).join(quotas, keys)
+        .where((F.col("_wanted") <= F.col("_upto")) & (F.col("_wanted") > F.col("_upto") - F.col("_one")))
+        .select(*keys, "_bin", (F.col("_wanted") - F.col("_upto") + F.col("_one")).alias("_inside"))
+    )
+    texts = slim.join(F.broadcast(cut), [*keys, "_bin"]).groupBy(*keys, order, "_inside").agg(F.count(F.lit(1)).alias("_ties"))
+    before = F.coalesce(F.sum("_ties").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    last = (
+        texts.withColumn("_take", F.col("_inside") - before)
+        .where((F.col("_take") > 0) & (F.col("_take") <= F.col("_ties")))
+        .select(*keys, F.col(order).alias("_last"), "_take", "_ties")
     )
+    limits = quotas.join(last, keys, "left")  # no last text: none or all rows of the group are wanted
+    told = df.join(F.broadcast(limits), keys)
+    shared = F.coalesce((F.col(order) == F.col("_last")) & (F.col("_take") < F.col("_ties")), F.lit(False))
+    wanted = F.when(F.col("_last").isNull(), F.col("_wanted") > 0).otherwise(F.col(order) <= F.col("_last"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+    marked = told.where(~shared).withColumn(flag, wanted).unionByName(told.where(shared).withColumn(flag, place <= F.col("_take")))
+    return marked.drop("_wanted", "_last", "_take", "_ties")

@@ -162,14 +162,20 @@ def in_output_order(safe: DataFrame) -> DataFrame:
     return safe.orderBy("related_contacts", "date", "project_no")
 
 
-def manifest(source: DataFrame, selected: DataFrame, safe: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """One row that records what the build read, kept and dropped."""
+def manifest(
+    source: DataFrame, selected: DataFrame, safe: DataFrame, policy: Policy = Policy(), output_rows: int | None = None
+) -> DataFrame:
+    """One row that records what the build read, kept and dropped. ``output_rows`` are those
+    that the write of ``safe`` has counted; without them they are counted here."""
+    written = safe.agg(F.count(F.lit(1)).alias("output_rows")) if output_rows is None else safe.sparkSession.createDataFrame(
+        [(output_rows,)], "output_rows long"
+    )
     rows_in = source.agg(F.count(F.lit(1)))
     aliases = client_aliases(selected).agg(F.count(F.lit(1))) if "contact_name" in selected.columns else None
     dropped = [c for c in fv.PRIVATE_COLUMNS if c in source.columns]
     kept = [c for c in fv.KEEP_COLUMNS if c in source.columns]
     texts = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
-    return safe.agg(F.count(F.lit(1)).alias("output_rows")).select(
+    return written.select(
         rows_in.scalar().alias("source_rows"),
         F.lit(len(source.columns)).cast("long").alias("source_columns"),
         "output_rows",

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobsight import fixed_values as fv
-from jobsight.operators import clean, drift, prepare, profile
+from jobsight.operators import clean, drift, features, prepare, profile
 from jobsight.plans import workflows
 from jobsight.sources import files
 
@@ -171,3 +171,61 @@ def test_no_column_is_left_out(spark):
     verdicts = profile.target_profiles(df)
     assert verdicts.count() == 260 and profile.target_candidates(verdicts).count() == 260
     assert profile.target_candidates(verdicts, 150).count() == 150 and profile.target_profiles(df, max_items=250).count() == 250
+
+
+@pytest.mark.parametrize("values, sketch", [(39, 5), (40, 5), (41, 5), (39, 13), (40, 13), (41, 13), (500, 5)])
+def test_wide_columns_on_both_sides_of_the_limit(spark, values, sketch):
+    """Exact by the sketch alone, by a count where its bounds enclose the limit, or far above it."""
+    df = spark.createDataFrame([(f"v{i % values}" if i % 5 else "", float(i), None) for i in range(2000)], "a string, n double, empty string")
+    distinct = df.select("a").distinct().count()
+    bounds = {r["column"]: r for r in features.distinct_bounds(df, df.columns, sketch).collect()}
+    assert bounds["a"].at_least <= distinct <= bounds["a"].at_most and bounds["n"].at_most == 0
+    if sketch == 13:
+        assert bounds["a"].at_least == bounds["a"].at_most == distinct
+    got = {r["column"]: r.drop_reason for r in features.droppable(df, None, 40, sketch).collect()}
+    assert got == {"a": "high_cardinality" if distinct >= 40 else None, "n": None, "empty": "sparse"}
+
+
+def test_counts_of_a_write(spark, tmp_path):
+    """The log's counts are those of the written table, counted by the write itself."""
+    rows = [(f" {i % 7} ", "2024-01-02", " nan ") for i in range(50)]
+    df = spark.createDataFrame(rows, "`A b` string, booked string, none string")
+    log = workflows.write_cleaned(df.repartition(4), str(tmp_path / "out.parquet"))
+    last = log.where("step = 'drop_duplicates'").first()
+    assert (last.rows_before, last.rows_after) == (50, 7) == (50, spark.read.parquet(str(tmp_path / "out.parquet")).count())
+    tidy = clean.tidy_text(df.toDF("a_b", "booked", "none"))
+    plan = clean.plan_cleaning(tidy)
+    again = clean.cleaning_log(clean.apply_cleaning(tidy, plan), spark.read.parquet(str(tmp_path / "out.parquet")), plan)
+    assert sorted(map(str, log.collect())) == sorted(map(str, again.collect()))
+
+
+def test_signature_is_computed_once(spark, monkeypatch):
+    seen = []
+    signature = drift.baseline_signature(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "c string, x double"))
+    original = type(signature).collect
+    monkeypatch.setattr(type(signature), "collect", lambda df: seen.append(df.columns) or original(df))
+    drift.drift_by_feature(signature, spark.createDataFrame([("a", 5.0)], "c string, x double"))
+    full = [c for c in seen if len(c) == 7]
+    assert len(full) >= 1 and signature.columns in full
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    """Train, score from file to file and check drift, each in one call."""
+    from jobsight import __main__ as command
+    from jobsight.operators import train as training
+
+    monkeypatch.setattr(command, "get_session", lambda: spark)
+    small = lambda config, rows, classes: {k: v for k, v in candidates(config, rows, classes).items() if k == "logistic_regression"}
+    candidates = training.candidate_models
+    monkeypatch.setattr(training.train_and_select, "__defaults__", (None, small))
+    rows = [("complete" if i % 2 else "active", float(i % 2 * 100 + i % 9), f"T{i % 3}") for i in range(120)]
+    source = str(tmp_path / "jobs.csv")
+    files.write_dataset(spark.createDataFrame(rows, "status_group string, budget_cost double, related_contacts string"), source)
+    command.main(["train", source, "Status Group", str(tmp_path / "registry")])
+    assert "logistic_regression" in capsys.readouterr().out
+    command.main(["score", source, str(tmp_path / "scored.csv"), str(tmp_path / "registry")])
+    scored = files.load_dataset(spark, str(tmp_path / "scored.csv"))
+    assert scored.count() == 120 and scored.where("prediction = status_group").count() > 110
+    command.main(["drift", source, str(tmp_path / "drift.parquet"), str(tmp_path / "registry"), "--threshold", "0.2"])
+    assert "'is_alert': False" in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "drift.parquet")).where("status = 'stable'").count() == 2

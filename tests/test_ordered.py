@@ -139,3 +139,14 @@ def test_roc_auc_against_pairs(spark):
     want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
     assert got == pytest.approx(want)
     assert metrics.roc_auc(spark.createDataFrame([(True, 0.5)], "p boolean, s double"), "p", "s").first().roc_auc is None
+
+
+def test_rows_with_the_same_last_key(spark):
+    """Exactly the quota is marked where rows share a key, and whole rows are not shuffled."""
+    df = spark.createDataFrame([(i, "k", f"{i % 4:032x}") for i in range(40)], "i long, k string, h string").withColumn("q", F.lit(25))
+    marked = flag_smallest(df.repartition(5), ["k"], "h", "q", "chosen")
+    rows = marked.collect()
+    assert len(rows) == 40 and sum(r.chosen for r in rows) == 25
+    assert all(r.chosen == (int(r.h, 16) < 2) for r in rows if int(r.h, 16) != 2)
+    whole = metrics.split_rows(df.drop("q"), "k", ["h"], 0.5, 1, False, 40)
+    assert whole.where("is_test").count() == 20 and whole.columns == ["i", "k", "h", "is_test"]
