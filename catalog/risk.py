@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import ALL_INTAKE, all_intake, jobs, query, raw_jobs, rounded, staged
-from catalog.teams import RANKED, ranked
+from catalog.teams import RANKED, shown
 from jobsight import fixed_values as fv
 from jobsight.functions import numbers
-from jobsight.operators import decisions, history, ingest, risk, teams
+from jobsight.operators import decisions, history, ingest, leaderboard, risk
 from jobsight.session import stage
 from jobsight.sources import testdata
 
@@ -277,7 +277,7 @@ def intake_errors(spark, sf):
 def assessment_log(spark, sf):
     def build():
         start = raw_jobs(spark, sf).select(F.col("project_no").alias("job_id"), F.col("date").alias("start_on"))
-        summary = teams.leaderboard_summary(ranked(spark, sf))
+        summary = leaderboard.summary(shown(spark, sf))
         return decisions.assessments(scored(spark, sf).join(start, "job_id"), summary, at=F.col("start_on"))
 
     return staged(spark, sf, "assessments", build)
