@@ -30,7 +30,7 @@ _SIMILAR = """, j AS (
   SELECT * FROM step2 WHERE NOT g2 OR m2
 ), step3 AS (
   SELECT *, count(*) FILTER (WHERE m3) OVER (PARTITION BY job_id) >= 10 AS g3 FROM set2
-), sim AS (
+), sim AS MATERIALIZED (
   SELECT job_id, count(*) AS similar_n, count(*) FILTER (WHERE says_completed) AS similar_completed,
          count(*) FILTER (WHERE is_cancelled) AS similar_cancelled
   FROM step3 WHERE NOT g3 OR m3 GROUP BY job_id
@@ -67,7 +67,7 @@ _SIMILAR = """, j AS (
     round(least(100, greatest(0, (cancellation_rate + lead
       + CASE WHEN total_jobs >= 500 AND says_completed_jobs / total_jobs < 0.8::DOUBLE THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END) * 100)), 1) AS programme_pct
   FROM rates
-), scored AS (
+), scored AS MATERIALIZED (
   SELECT *, round(greatest(100.0::DOUBLE - completion_pct, cancellation_pct, programme_pct * 0.85::DOUBLE), 1) AS failure_pct
   FROM parts
 ), signals AS (
