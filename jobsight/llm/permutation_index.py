@@ -6,31 +6,42 @@ file per pivot: the rank that each row gives the pivot. A prefix is half of the
 of the rows post in a file, and a file is an array over the rows of the block. A query reads the files of its own
 nearest pivots and adds up, per row, the footrule distance: the sum over these pivots of the
 difference of the two ranks, where a pivot missing from a prefix has the rank ``prefix``. The
-rows with the smallest distances are compared exactly, in double precision, and the best of all
+rows that rank first by them are compared exactly, in double precision, and the best of all
 blocks are merged. Equal vectors of a block count as one in the shortlist, and all their rows are
 candidates with the same score, so a large group of copies takes one place there; different
 vectors at the same distance are taken by their smallest vec_id.
 
+The nearness is the inner product, and an order of pivots does not know a row's norm. So rows are
+ranked by their norm times the largest cosine that their footrule distance makes likely: for every
+query a line of cosine against distance is fitted to ``FITTED`` rows of the block, and one standard
+error is added. Rows of one norm are ranked by their footrule distances alone.
+
 Queries go in blocks too, so a task holds one block of rows and one of queries. On vectors
-without structure a neighbour's order of pivots is only loosely like the query's, so a fixed
-share of a block (``SHARE``, at least ``LEAST`` rows) is compared exactly; recall is measured in
-the tests.
+without structure a neighbour's order of pivots is only loosely like the query's, so ``SHARE`` of
+every block and ``PER_K`` rows for each wanted neighbour are compared exactly, whatever the size of
+the table; recall is measured in the tests.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold null or
-non-finite components take no part; of rows repeated with one id each is a candidate of its
+non-finite components take no part; a query that is there twice (same id and vector) is asked once, and
+queries that share an id are ranked each; of rows repeated with one id each is a candidate of its
 own except for its own id; with fewer candidates than ``k`` all are returned; an empty table
 gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 K = 20
 PIVOTS, PREFIX = 256, 128
-SHARE, LEAST = 0.12, 1024
+SHARE, PER_K = 0.12, 20
+LEAST = PER_K * K
+#: Rows of a block on which the cosine that a distance stands for is fitted.
+FITTED = 512
 BLOCK = 8192
 SEED = 11
 
@@ -69,30 +80,60 @@ def ranks(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(v @ pivots.T), axis=1, kind="stable")[:, :prefix]
 
 
-def shortlists(rows: np.ndarray, queries: np.ndarray, pivots: np.ndarray, prefix: int, most: int) -> list[np.ndarray]:
-    """Per query the ``most`` rows of a block with the smallest footrule distance, ties to the first row."""
+def distances(rows: np.ndarray, queries: np.ndarray, pivots: np.ndarray, prefix: int) -> Iterator[np.ndarray]:
+    """Per query the footrule distances of all rows of a block, from its inverted files."""
     n, prefix = len(rows), min(prefix, len(pivots))
-    if most >= n:
-        return [np.arange(n)] * len(queries)
     # Inverted files: row p lists, for every row of the block, the rank that it posts for pivot p.
     files = np.full((len(pivots), n), prefix, np.int16)
     files[ranks(rows, pivots, prefix), np.arange(n)[:, None]] = np.arange(prefix, dtype=np.int16)
-    out, own, place = [], np.arange(prefix, dtype=np.int16), np.arange(n)
+    own = np.arange(prefix, dtype=np.int16)
     for mine in ranks(queries, pivots, prefix):
         far = np.zeros(n, np.int32)
         for start in range(0, prefix, 16):  # 16 files at a time stay in the processor's cache
             far += np.abs(files[mine[start:start + 16]] - own[start:start + 16, None]).sum(axis=0, dtype=np.int32)
-        out.append(np.argpartition(far.astype(np.int64) * n + place, most - 1)[:most])
+        yield far
+
+
+def first_rows(key: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` rows with the smallest keys, ties to the first row."""
+    last = np.partition(key, most - 1)[most - 1]
+    below = np.flatnonzero(key < last)
+    return np.concatenate([below, np.flatnonzero(key == last)[:most - len(below)]])
+
+
+def shortlists(rows: np.ndarray, queries: np.ndarray, pivots: np.ndarray, prefix: int, most: int) -> list[np.ndarray]:
+    """Per query the ``most`` rows of a block with the smallest footrule distance, ties to the first row."""
+    if most >= len(rows):
+        return [np.arange(len(rows))] * len(queries)
+    return [first_rows(far, most) for far in distances(rows, queries, pivots, prefix)]
+
+
+def product_shortlists(rows: np.ndarray, queries: np.ndarray, pivots: np.ndarray, prefix: int, most: int) -> list[np.ndarray]:
+    """Per query the ``most`` rows of a block whose norm and footrule distance promise the largest inner product."""
+    if most >= len(rows):
+        return [np.arange(len(rows))] * len(queries)
+    norms = np.linalg.norm(rows, axis=1)
+    fitted = np.unique(np.linspace(0, len(rows) - 1, FITTED).astype(int))
+    directions, out = rows[fitted] / norms[fitted, None], []
+    for q, far in zip(queries, distances(rows, queries, pivots / np.linalg.norm(pivots, axis=1)[:, None], prefix)):
+        cosine, x = directions @ (q / np.linalg.norm(q)), far[fitted].astype(np.float64)
+        spread = x - x.mean()
+        slope = (spread @ cosine) / max(spread @ spread, 1e-300)
+        if slope >= 0:  # distances that say nothing, as of one row
+            slope, cosine = -1.0, -spread
+        error = np.std(cosine - slope * spread)
+        out.append(first_rows(-norms * (cosine.mean() + slope * (far - x.mean()) + error), most))
     return out
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX,
-            share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+            share: float = SHARE, least: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest rows by inner product.
 
-    Both arguments are (vec_id, v) as ``usable`` gives them. ``share`` of a block, and at least
-    ``least`` rows, are compared exactly; a share of 1 gives the exact result.
+    Both arguments are (vec_id, v) as ``usable`` gives them. ``share`` of a block and ``least``
+    rows more (``PER_K`` for each neighbour) are compared exactly; a share of 1 gives the exact result.
     """
+    least = PER_K * k if least is None else least
     centres = choose_pivots(vectors, pivots)
     width = centres.shape[1] if len(centres) else 0
     fits = F.size("v") == width
@@ -101,25 +142,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, pivots: int = PI
     deal = lambda blocks, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     data = vectors.where(fits).select("vec_id", "v", deal(r_blocks, 1).alias("rb")).select("*", every(q_blocks).alias("qb"))
-    asked = queries.where(fits).select("vec_id", "v", deal(q_blocks, 2).alias("qb")).select("*", every(r_blocks).alias("rb"))
+    # A query that is there twice is asked once; queries that share an id are told apart by ``q``.
+    asked = queries.where(fits).dropDuplicates(["vec_id", "v"]).select("vec_id", "v", F.xxhash64("v").alias("q"), deal(q_blocks, 2).alias("qb"))
+    asked = asked.select("*", every(r_blocks).alias("rb"))
 
     def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []})
         rows, asked = rows.sort_values("vec_id"), asked.sort_values("vec_id")
         a, groups = distinct(np.stack(rows["v"].to_numpy()))
-        q = np.stack(asked["v"].to_numpy())
+        queries = np.stack(asked["v"].to_numpy())
         ids, found = rows["vec_id"].to_numpy(), []
-        most = min(len(a), max(least, int(np.ceil(share * len(ids)))))
-        for i, (own, near) in enumerate(zip(asked["vec_id"].tolist(), shortlists(a, q, centres, prefix, most))):
+        most = min(len(a), int(np.ceil(share * len(ids))) + least)
+        for own, q, vector, near in zip(asked["vec_id"].tolist(), asked["q"].tolist(), queries, product_shortlists(a, queries, centres, prefix, most)):
             scores = np.full(len(a), -np.inf)
-            scores[near] = (a[near] * q[i]).sum(axis=1)  # the same for equal vectors of all blocks
+            scores[near] = (a[near] * vector).sum(axis=1)  # the same for equal vectors of all blocks
             close = np.flatnonzero((scores[groups] > -np.inf) & (ids != own))
             score = scores[groups[close]]
             best = np.lexsort((ids[close], -score))[:k]
-            found.append(pd.DataFrame({"query_id": own, "vec_id": ids[close][best], "score": score[best]}))
+            found.append(pd.DataFrame({"query_id": own, "q": q, "vec_id": ids[close][best], "score": score[best]}))
         return pd.concat(found)
 
-    found = data.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(search, "query_id long, vec_id long, score double")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = data.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(search, "query_id long, q long, vec_id long, score double")
+    place = F.row_number().over(W.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -307,6 +307,42 @@ def test_recall_of_the_index(spark):
     assert len(truth & got) / len(truth) > 0.95
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.0])
+def test_recall_over_full_blocks(spark, spread):
+    """Two full blocks of vectors without structure, of one norm or of norms that differ widely, at production parameters."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(2 * perm.BLOCK - 600, 64))
+    rows *= (np.exp(rng.normal(size=len(rows)) * spread) / np.linalg.norm(rows, axis=1))[:, None]
+    frame = perm.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"))
+    asked = range(0, len(rows), 160)
+    got = defaultdict(set)
+    for r in perm.nearest(frame, frame.where("vec_id % 160 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for i in asked:
+        products = rows @ rows[i]
+        products[i] = -np.inf
+        hits += len(got[i] & set(np.argsort(-products)[:20].tolist()))
+    assert hits / (20 * len(asked)) > 0.93
+
+
+def test_repeated_queries(spark):
+    """Repeated query rows are asked once; those that share an id with another vector are ranked each."""
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    rows += [rows[20], rows[20], (40, [rng.gauss(0, 1) for _ in range(8)])]
+    frame = perm.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = defaultdict(list)
+    for r in perm.nearest(frame, frame.where("vec_id % 20 = 0")).collect():
+        found[r["query_id"]].append((r["rank"], r["vec_id"], round(r["score"], 9)))
+    for query in (0, 20, 40):
+        want = []
+        for vector in {tuple(v) for i, v in rows if i == query}:
+            scores = sorted((-sum(x * y for x, y in zip(vector, v)), i) for i, v in rows if i != query)
+            want += [(place, i, round(-s, 9)) for place, (s, i) in enumerate(scores[:20], 1)]
+        assert sorted(found[query]) == sorted(want)
+
+
 def test_recall_in_a_whole_block():
     """Vectors without any structure, the hardest case: a full block, of which an eighth is compared exactly."""
     rng = np.random.default_rng(6)
