@@ -16,7 +16,9 @@ attempt, and renamed when whole; the name of a part is fixed, so a task that run
 replaces the same file. A task holds one block buffer and one document at a time.
 
 Edge cases: a null or empty text has the end id alone; a null id comes first and is stored by
-a flag; repeated rows are written each; an empty table writes no file; other columns are not read.
+a flag; rows of one id are in the order of a hash of their text, then of the text, so a rerun
+writes the same files, and many of them are dealt over several files; repeated rows are written
+each; an empty table writes no file; other columns are not read.
 """
 
 from __future__ import annotations
@@ -198,8 +200,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end: int = E
     return the table of files (part, name, docs, ids, bytes), which is one row per task."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = whole_texts(docs).repartitionByRange(tasks, F.col("doc_id").asc_nulls_first())
-    ranged = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first()).select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ranged = whole_texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).repartitionByRange(tasks, *order)
+    ranged = ranged.sortWithinPartitions(*order, "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
     schema = "part int, name string, docs long, ids long, bytes long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,8 +9,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+from jobsight.session import scratch_path
 from jobsight.llm import packing, pfor, tokens, viterbi
 from jobsight.llm.text import pieces
 
@@ -65,6 +67,20 @@ def test_token_files(docs, ids_of):
         at, last = at + n, -1 if i is None else i
 
 
+def test_rows_of_one_id_have_one_order(spark):
+    """Null and repeated ids with different texts: the same starts however the rows are dealt, over several files."""
+    rows = [(None if i % 3 else 7, f"text {i % 90} " + "word " * (i % 11)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = []
+    for dealt in (docs.repartition(1), docs.repartition(7), docs.orderBy(F.desc("text"))):
+        got = pfor.token_files(dealt, WORD_FILE).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+        runs.append(sorted((tuple(r) for r in got), key=lambda r: r[1]))
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 300
+    folder = scratch_path(spark, "ties")
+    files = pfor.write_token_files(docs, WORD_FILE, f"file://{folder}").collect()
+    assert max(f["docs"] for f in files) < 150
+
+
 def test_blocks_of_a_file(docs, tmp_path):
     """Any block can be read by the index alone."""
     folder = f"file://{tmp_path}/ids"
