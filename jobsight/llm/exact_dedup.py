@@ -8,7 +8,8 @@ so two texts with one digest never meet:
    is merged in ``salts`` tasks, each of which gets one row per map task;
 3. the salt winners of a text, at most ``salts`` rows, are combined globally.
 
-The table of winners has a digest and no text, unless a digest has more than one text.
+The table of winners has a digest and no text, unless a digest has more than one text. Rows are
+told their winner by a join that deals the rows of frequent digests over all tasks.
 
 Edge cases: a null text counts as empty; the largest doc_id stays, and a null id is smaller
 than any; of rows repeated with the same id and text exactly one stays; an empty table gives
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from jobsight.session import stage
 
+from .spread import join_one
+
 SALTS = 16
 
 
@@ -61,7 +64,7 @@ def duplicate_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha25
     # Repeated rows of one id are counted before the join, so they can be told apart after it.
     rows = keyed.groupBy("doc_id", "_key", sha256(F.col("text")).alias("text_sha256")).agg(F.count(F.lit(1)).alias("_n"))
     alone = winners.where(F.col("_text").isNull()).drop("_text")
-    found = rows.join(alone, "_key")
+    found = join_one(rows, alone, "_key", "group_size", F.xxhash64("doc_id"))
     shared = winners.where(F.col("_text").isNotNull())
     if not shared.isEmpty():  # a digest with several texts: those rows are matched by text
         few = keyed.join(shared.select("_key").distinct(), "_key", "left_semi")

@@ -19,6 +19,7 @@ from jobsight.session import stage
 
 from .components import components
 from .hamming import RADIUS, near_links
+from .spread import join_one
 from .text import map_rows, pieces, whole_texts
 
 SHINGLE = 4
@@ -69,11 +70,13 @@ def simhash_groups(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
     marks = stage(fingerprints(docs, width), "fingerprints")
     roots = components(near_links(marks, radius))
-    known = marks.groupBy("fp").agg(F.min("doc_id").alias("_first")).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    known = known.withColumn("_root", F.coalesce("root", "fp"))
-    lowest = known.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = known.join(lowest, "_root").select("fp", "component_id")
-    return marks.join(named, "fp").select(
+    known = marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    known = known.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    known = stage(known.select("fp", "first", "rows", F.coalesce("root", "fp").alias("root")), "prints")
+    lowest = stage(known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("prints")), "groups")
+    # A print with many rows and a component of many prints are both dealt over all tasks.
+    named = stage(join_one(known, lowest, "root", "prints", F.xxhash64("fp")).select("fp", "rows", "component_id"), "named_prints")
+    return join_one(marks, named, "fp", "rows", F.xxhash64("doc_id")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
