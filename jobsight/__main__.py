@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import SparkSession
+
 from jobsight import fixed_values as fv
 from jobsight.operators.registry import Registry
 from jobsight.plans import workflows
-from jobsight.session import get_session
+from jobsight.session import get_session, run_folder
 from jobsight.sources.files import load_dataset, write_dataset
 
 
@@ -41,9 +43,7 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
     return parser.parse_args(given)
 
 
-def main(given: list[str] | None = None) -> None:
-    args = _arguments(given)
-    spark = get_session()
+def _step(args: argparse.Namespace, spark: SparkSession) -> None:
     if args.step in ("prepare", "clean"):
         source = load_dataset(spark, args.source, args.encoding, args.multi_line)
         if args.step == "prepare":
@@ -67,5 +67,12 @@ def main(given: list[str] | None = None) -> None:
     write_dataset(report["features"], args.output)
 
 
+def main(given: list[str] | None = None) -> None:
+    """Run a step; all results are files, so what it stages goes with it."""
+    args, spark = _arguments(given), get_session()
+    with run_folder(spark):
+        _step(args, spark)
+
+
 if __name__ == "__main__":
     main()
