@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from jobsight import fixed_values as fv
-from jobsight.operators import decisions, entities, history, ingest, ordered, risk, teams
+from jobsight.operators import decisions, entities, history, ingest, leaderboard, ordered, risk, teams
 from jobsight.plans import workflows
 
 TYPES, AREAS = ["Roof repair", "Gable", "Render"], ["N1 1AA", "N2 2BB", "SW1A 1AA"]
@@ -124,6 +125,30 @@ def test_leaderboard_gates_and_ranks(spark, raw, jobs, intake):
         assert len(mine) == 2 and any(r.is_selected for r in mine)
 
 
+def test_compared_pairs_are_those_of_the_join(spark, jobs, intake):
+    """The arrays of places give what a table of jobs times teams, joined with the history, gives."""
+    columns = ["row_id", "team", "candidate_rank", "is_selected", "type_n", "area_n", "price_n", "similar_jobs"]
+    joined = teams.with_similar_jobs(teams.candidate_pairs(intake, jobs), jobs).select(*columns).collect()
+    found = leaderboard.compared_pairs(intake, jobs).select(*columns).collect()
+    assert len(found) > 0 and sorted(found) == sorted(joined)
+
+
+def test_ranked_teams_are_not_shuffled(spark, jobs, intake, capsys):
+    """Ranks of all compared teams follow job by job, behind the last shuffle."""
+    capsys.readouterr()
+    teams.ranked_teams(intake, jobs).explain("simple")
+    above = capsys.readouterr().out.split("MapInArrow")[0]
+    assert "Exchange" not in above and "Window" not in above and "Join" not in above
+
+
+def test_counts_travel_in_few_bytes():
+    counts = np.zeros((4, leaderboard.PLACES), np.int64)
+    counts[1, 3], counts[2, 5], counts[3, 0] = 255, 256, 2**40
+    packed = leaderboard._packed(counts)
+    assert [len(row) // leaderboard.PLACES for row in packed.to_pylist()] == [1, 1, 2, 8]
+    assert (leaderboard._unpacked(packed) == counts).all()
+
+
 def test_a_job_without_a_price_gets_the_neutral_price_fit(spark):
     """Eight completed jobs of one team: 31 + 17 + 12 + 8, half of 12 and of 7, 8 for similar jobs, 0.62 of 5."""
     rows = [(f"J{i}", "Solo", "Handed Over", 1000.0) for i in range(8)]
