@@ -170,3 +170,18 @@ def test_duration_model(spark, clocks):
 def test_date_spellings(spark, cell, want):
     got = spark.range(1).select(dates.parse_datetime(F.lit(cell)).cast("string")).first()[0]
     assert got == want
+
+
+@pytest.mark.parametrize("cell", [
+    "JOB-000123", "Customer#000000001", "N12 3AA", "1-URGENT", "12:30:00", "£123.45", "Supplier#1|Supplier#2",
+])
+def test_text_that_begins_like_no_date_is_not_read_further(cell):
+    assert not re.match(dates._BEGINS, cell)
+
+
+@pytest.mark.parametrize("cell", [
+    "2024-1-2", "2024/01/02T10:00", "20240102", "20240102 9am", "1.2.2024", "01-02-70", "1st January 2024", "2-Feb-2024", "Mar 3rd, 2024", "march-3-2024 2:30 PM",
+])
+def test_every_kind_of_date_begins_like_one(spark, cell):
+    assert re.match(dates._BEGINS, cell)
+    assert spark.range(1).select(dates.parse_datetime(F.lit(cell))).first()[0] is not None
