@@ -6,6 +6,8 @@ whole table, whatever its number of columns.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from jobsight import fixed_values as fv
@@ -13,6 +15,9 @@ from jobsight.functions.naming import target_hint
 from jobsight.functions.numbers import is_numeric, number_of
 from jobsight.operators.ordered import exact_quantiles
 
+#: Parts that the columns of a histogram are counted in, at most.
+HISTOGRAM_PARTS = 16
+
 
 def dtype_name(dtype: T.DataType) -> str:
     """The column type in the dataset profile's vocabulary."""
@@ -36,11 +41,18 @@ def column_facts(df: DataFrame) -> DataFrame:
 
 
 def value_histogram(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """A1: (column, value, n) for every value of every column, null included as a value."""
+    """A1: (column, value, n) for every value of every column, null included as a value.
+
+    One aggregate over the cells of a few columns after the other, so that a task combines the values
+    of few columns only. A table of files is read once in all, as a part reads its own columns; pass a
+    staged table where the rows take long to make.
+    """
     names = columns or df.columns
-    long = df.select([F.col(c).cast("string").alias(c) for c in names]).unpivot(
-        [], names, "column", "value"
-    )
+    parts = [names[i::HISTOGRAM_PARTS] for i in range(min(len(names), HISTOGRAM_PARTS))]
+    cells = [
+        df.select([F.col(c).cast("string").alias(c) for c in own]).unpivot([], own, "column", "value") for own in parts
+    ]
+    long = reduce(DataFrame.union, cells)
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +231,16 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     command.main(["drift", source, str(tmp_path / "drift.parquet"), str(tmp_path / "registry"), "--threshold", "0.2"])
     assert "'is_alert': False" in capsys.readouterr().out
     assert spark.read.parquet(str(tmp_path / "drift.parquet")).where("status = 'stable'").count() == 2
+
+
+def test_histogram_combines_few_columns_in_a_task(spark):
+    names = [f"c{i}" for i in range(20)]
+    rows = [tuple(None if (r + i) % 5 == 0 else str(r % (i + 1)) for i in range(20)) for r in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    found = profile.value_histogram(df)
+    expected = Counter((n, v) for row in rows for n, v in zip(names, row))
+    assert {(r["column"], r["value"]): r["n"] for r in found.collect()} == expected
+    assert found.count() == len(expected)
+    parts = found._jdf.queryExecution().optimizedPlan().toString().count("Expand")
+    assert parts == profile.HISTOGRAM_PARTS  # one aggregate over parts of at most two columns
+    assert profile.value_histogram(df, ["c3"]).where("value is null").first()["n"] == 8
