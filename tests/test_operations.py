@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from jobsight import fixed_values as fv
 from jobsight.operators import decisions, entities, history, ingest, leaderboard, ordered, risk, teams
 from jobsight.plans import workflows
+from jobsight.session import stage
 
 TYPES, AREAS = ["Roof repair", "Gable", "Render"], ["N1 1AA", "N2 2BB", "SW1A 1AA"]
 STATUSES = ["Booked", "Scaffold Down", "Cancelled by client", "Handed Over", "On hold", "Cancelled - complete"]
@@ -100,6 +101,33 @@ def test_similar_history_is_sequential(spark, raw, jobs, intake, small_group, mo
         assert job.similar_cancelled == sum(r["cancelled"] for r in rows)
 
 
+def test_the_search_for_similar_jobs_carries_narrow_rows(spark, jobs, intake, monkeypatch):
+    """Counts, level and price per row; names, texts and statistics are not shuffled with each step."""
+    kept = {}
+
+    def noted(df, name):
+        kept[name] = df.columns
+        return stage(df, name)
+
+    for module in (risk, history):
+        monkeypatch.setattr(module, "stage", noted)
+    risk.with_similar_history(intake, jobs)
+    assert set(kept["asked_history"]) == {
+        "row_id", "team_key", "price", "level", "scope_type", "scope_area", "scope_rows", "scope_completed", "scope_cancelled"
+    }
+    assert {"found_type", "found_area", "found_both"} <= set(kept)
+
+
+def test_facts_of_a_team_lie_side_by_side_and_add_up(spark, jobs):
+    def summed(facts):
+        per_fact = facts.groupBy(*history.FACT_KEY).agg(*[F.sum(c).alias(c) for c in history.COUNTS])
+        return sorted(map(str, per_fact.collect()))
+
+    dealt = history.History.dealt(jobs).facts
+    assert dealt.count() == history.team_history(jobs).count()
+    assert summed(dealt) == summed(history.team_facts(jobs))
+
+
 def test_leaderboard_gates_and_ranks(spark, raw, jobs, intake):
     pairs = {(r.job_id, r.team): r for r in teams.with_similar_jobs(teams.candidate_pairs(intake, jobs), jobs).collect()}
     for (_, team), row in pairs.items():

@@ -46,6 +46,18 @@ def test_exact_quantiles(spark, facts):
         assert np.allclose([row.q1, row.median, row.q3, row.top], want, rtol=1e-12)
 
 
+@pytest.mark.parametrize("small_group", [10 ** 9, 30, 0])
+def test_quantiles_of_sized_groups_are_those_of_bins(spark, monkeypatch, small_group):
+    rng = random.Random(8)
+    rows = [(g, rng.choice([None, -0.0, 0.0, 2.5, rng.uniform(-9, 9e6)]), rng.randint(1, 4)) for g, n in (("a", 90), ("b", 25), ("c", 1), (None, 9)) for _ in range(n)]
+    df = spark.createDataFrame([*rows, ("none", None, 1)], "g string, v double, n long")
+    sizes = df.where("v is not null").groupBy("g").agg(F.sum("n").alias("_rows"), F.count("v").alias("_points"))
+    wanted = {"low": 0.1, "median": 0.5, "top": 1.0}
+    plain = sorted(map(str, ordered.exact_quantiles(df.where("g is not null"), ["g"], "v", wanted, "n").collect()))
+    monkeypatch.setattr(ordered, "SMALL_GROUP", small_group)
+    assert sorted(map(str, ordered.quantiles_of_sized(df, sizes, ["g"], "v", wanted, "n").collect())) == plain
+
+
 def test_exact_quantiles_of_whole_table(spark, facts):
     df = spark.createDataFrame(facts, "k string, v double")
     got = exact_quantiles(df, [], "v", {"median": 0.5})
