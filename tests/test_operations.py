@@ -169,6 +169,19 @@ def test_ranked_teams_are_not_shuffled(spark, jobs, intake, capsys):
     assert "Exchange" not in above and "Window" not in above and "Join" not in above
 
 
+def test_ranked_teams_are_not_written(spark, jobs, intake):
+    """Ranks and fit classes of all compared teams are run, not read from a written table of 121 rows a job."""
+    from catalog.base import QUERIES
+    import catalog.all  # noqa: F401
+
+    for name in ("w1_leaderboard_rank", "r5_fit_class"):
+        found = QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert not any("ranked_teams" in path for path in found.inputFiles())
+    full, short = teams.ranked_teams(intake, jobs), teams.ranked_teams(intake, jobs, shown=False)
+    assert short.columns == ["row_id", "job_id", "team", "fit_score", "rank"]
+    assert sorted(full.select(short.columns).collect()) == sorted(short.collect())
+
+
 def test_counts_travel_in_few_bytes():
     counts = np.zeros((4, leaderboard.PLACES), np.int64)
     counts[1, 3], counts[2, 5], counts[3, 0] = 255, 256, 2**40
